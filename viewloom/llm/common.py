@@ -45,3 +45,29 @@ def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
 def lower_ascii(col):
     """Lower-cases A-Z alone; other letters stay as they are."""
     return F.translate(col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+#: Largest bitmap of `marks`, in bits: 2 MB, whatever the number of keys.
+MAX_MARKS = 1 << 24
+
+
+def marks(keys: DataFrame, key_hash):
+    """A bitmap of at most MAX_MARKS bits with a bit set for every row of keys, and the column expression of a
+    row's bit. Built by an aggregation; the driver gets at most MAX_MARKS / 64 numbers.
+
+    A clear bit means that the key isn't there; a set bit may be another key's. With far more keys than bits
+    nearly all bits are set, and the bitmap saves nothing, but it is never wrong.
+    """
+    import numpy as np
+
+    bits = 1 << 16
+    n = keys.count()
+    while bits < min(8 * n, MAX_MARKS):
+        bits <<= 1
+    slot = F.pmod(key_hash, F.lit(bits)).cast("long")
+    word = keys.select(slot.alias("s")).groupBy(F.shiftright("s", 6).alias("w"))
+    words = word.agg(F.bit_or(F.expr("shiftleft(1L, cast(s & 63 as int))")).alias("b")).collect()
+    bitmap = np.zeros(bits // 64, dtype="<i8")
+    for r in words:
+        bitmap[r["w"]] = r["b"]
+    return bitmap.view(np.uint8), slot
