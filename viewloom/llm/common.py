@@ -71,3 +71,12 @@ def marks(keys: DataFrame, key_hash):
     for r in words:
         bitmap[r["w"]] = r["b"]
     return bitmap.view(np.uint8), slot
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes the files of a table made by `written`, once nothing reads it any more."""
+    jvm = df.sparkSession.sparkContext._jvm
+    conf = df.sparkSession._jsparkSession.sessionState().newHadoopConf()
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(conf).delete(path, True)

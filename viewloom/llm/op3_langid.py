@@ -169,6 +169,20 @@ def identify(docs: DataFrame, model: Model, keep: list[str] | None = None) -> Da
     return docs.select(*keep, F.col("text").alias("_text")).mapInArrow(run, schema)
 
 
+def keep_identified(docs: DataFrame, model: Model, min_score: float) -> DataFrame:
+    """The rows of docs, with all their columns, whose language is found with min_score or more."""
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        score = Scorer(model)
+        for batch in batches:
+            found = [score(t) for t in batch.column(at).to_pylist()]
+            keep = [i for i, (x, p) in enumerate(found) if x != UND and p >= min_score]
+            yield batch.take(pa.array(keep, pa.int64()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     found = identify(docs.withColumn("held_out", held_out()), fit(docs), ["doc_id", "held_out"])

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import marks, read_table, shared_dir
+from .common import broadcast_if_small, marks, read_table, shared_dir
 
 KINDS = ["assign", "access", "hex", "pem", "github", "jwt"]
 BASE_KINDS = KINDS[:3]
@@ -109,6 +109,34 @@ def scan(docs: DataFrame, ledger_path: str, rule_version: int = RULE_VERSION, ke
     return paths.join(ledger, "blob").select("doc_id", *keep, "blob", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
 
 
+#: Documents with findings up to which their spans are broadcast to the texts (at some 100 bytes each).
+BROADCAST_ROWS = 500_000
+
+
+def redact(docs: DataFrame, ledger_path: str, mark: str) -> DataFrame:
+    """docs with the union of the findings' spans replaced by `mark`, and n_chars, if there is one, brought up to date."""
+    found = scan(docs, ledger_path).filter(F.col("spans") != "").select(F.col("blob").alias("_blob"), "spans").dropDuplicates(["_blob"])
+    spot = F.transform(F.split("spans", ","), lambda x: F.struct(F.split_part(x, F.lit(":"), F.lit(2)).cast("int").alias("s"), F.split_part(x, F.lit(":"), F.lit(3)).cast("int").alias("e")))
+    found = broadcast_if_small(found.select("_blob", F.array_sort(spot).alias("_spans")), BROADCAST_ROWS)
+    blob = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
+    joined = docs.withColumn("_key", blob).join(found, F.col("_key") == F.col("_blob"), "left")
+    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
+
+    def cut(acc, x):
+        # A span that begins inside the one before adds its tail to it.
+        fresh = F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, x["s"] - acc["at"]), F.lit(mark))
+        return F.struct(F.when(x["s"] >= acc["at"], fresh).otherwise(acc["out"]).alias("out"), F.greatest(acc["at"], x["e"]).alias("at"))
+
+    done = F.aggregate("_spans", start, cut, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.char_length("text"))))
+    text = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(done)
+    out = joined.withColumn("_text", text)
+    changed = {"text": F.col("_text")}
+    if "n_chars" in docs.columns:
+        kind = docs.schema["n_chars"].dataType
+        changed["n_chars"] = F.when(F.col("_spans").isNull(), F.col("n_chars")).otherwise(F.char_length("_text")).cast(kind)
+    return out.select(*[changed.get(c, F.col(c)).alias(c) for c in docs.columns])
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     import uuid
 

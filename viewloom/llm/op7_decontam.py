@@ -102,7 +102,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, remove: str = "documents",
     )
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash"))
     if remove == "documents":
-        return docs.join(bad.drop("_spans"), same, "left_anti")
+        return docs.join(broadcast_if_small(bad.drop("_spans"), BROADCAST_ROWS), same, "left_anti")
     if remove != "spans":
         raise ValueError(f"remove must be 'documents' or 'spans', not {remove!r}")
     # Each word with what follows it; the first part is what stands before the first word.
