@@ -13,6 +13,8 @@ prefix and each further one counts as one, so that a shared signature remains wh
 are missing. The number of groups follows the class of the set's size (classes grow by SIZE_STEP, so linked
 sets are in the same class or in neighbours; a set gives the pairs of its own class and of the next one).
 
+A pair is only compared if the places of the signature in both sets leave room for enough shared shingles.
+
 Verification. Within a signature every node is compared with the most central one; the links found join
 nodes to components, and then the pairs of a signature whose nodes are still in different components are
 compared as well. Pairs within a component need no comparison: more links don't change it. So no pairs of
@@ -88,17 +90,22 @@ def size_class(n: int) -> int:
     return int(np.searchsorted(_BOUNDS, n, side="right"))
 
 
-def signatures(s: np.ndarray, frequent: np.ndarray) -> np.ndarray:
-    """The signatures of a set (sorted hashes), given the sketch's slots of the frequent class."""
+def signatures(s: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The signatures of a set (sorted hashes), given the sketch's slots of the frequent class, and their places.
+
+    The place of a rare shingle is the number of shingles before it, that of a combination the number of the set's rare
+    shingles: if no signature with an earlier place is shared, the linked set misses that many.
+    """
     n = len(s)
     if n <= 1 or slack(n) == 0 and slack(n + 1) == 0:
-        return _EMPTY  # too small to be linked with a different set
+        return _EMPTY, _EMPTY  # too small to be linked with a different set
     need = slack(n) + 1
     often = frequent[s >> _SHIFT]
     rare = s[~often][:need]
+    places = np.arange(len(rare), dtype=np.uint64)
     if len(rare) == need:
-        return rare
-    out, freq, more = [rare], s[often], need - len(rare)
+        return rare, places
+    out, freq, more = [], s[often], need - len(rare)
     own = size_class(n)
     for c in (own, own + 1):
         groups = max(1, int(GROUP_SHARE * SIZE_STEP ** (c - 2)))
@@ -108,11 +115,13 @@ def signatures(s: np.ndarray, frequent: np.ndarray) -> np.ndarray:
         end = int(np.searchsorted(np.cumsum(counts), more)) + 1
         order = np.argsort(g[:end], kind="stable")
         p, g = freq[:end][order], g[:end][order]
+        salt = _U(c * int(_ODD[2]) & 0xFFFFFFFFFFFFFFFF)
         lag = 1
         while lag < len(p) and (same := g[lag:] == g[:-lag]).any():
-            out.append(_mix(p[:-lag][same] * _ODD[0] + p[lag:][same] * _ODD[1] + _U(c) * _ODD[2]))
+            out.append(_mix(p[:-lag][same] * _ODD[0] + p[lag:][same] * _ODD[1] + salt))
             lag += 1
-    return np.unique(np.concatenate(out))
+    pairs = np.unique(np.concatenate(out))
+    return np.concatenate([rare, pairs]), np.concatenate([places, np.full(len(pairs), len(rare), np.uint64)])
 
 
 def set_id(s: np.ndarray) -> int:
@@ -174,7 +183,7 @@ def frequent_slots(sketch: DataFrame) -> np.ndarray:
 
 
 def all_signatures(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
-    """(sig, node, n) of every set; a task gives a set's signatures once."""
+    """(sig, node, n, p) of every set, p being the signature's place; a task gives a set's signatures once."""
     packed = np.packbits(frequent).tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,21 +191,23 @@ def all_signatures(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
         seen: set[int] = set()
         for batch in batches:
             for lo in range(0, batch.num_rows, SLICE):
-                sigs, ids, ns = [_EMPTY], [], []
+                sigs, places, ids, ns = [_EMPTY], [_EMPTY], [], []
                 for text in batch.column("text").slice(lo, SLICE).to_pylist():
                     s = shingles(text)
                     if len(s) and (name := set_id(s)) not in seen:
                         seen.add(name)
-                        sigs.append(signatures(s, flags))
+                        own, at = signatures(s, flags)
+                        sigs.append(own)
+                        places.append(at)
                         ids.append(name)
                         ns.append(len(s))
                 times = [len(x) for x in sigs[1:]]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(sigs).view(np.int64)), pa.array(np.repeat(np.array(ids, np.int64), times)), pa.array(np.repeat(np.array(ns, np.int32), times))],
-                    names=["sig", "node", "n"],
+                    [pa.array(np.concatenate(sigs).view(np.int64)), *(pa.array(np.repeat(np.array(x, t), times)) for x, t in ((ids, np.int64), (ns, np.int32))), pa.array(np.concatenate(places).astype(np.int32))],
+                    names=["sig", "node", "n", "p"],
                 )
 
-    return docs.select("text").mapInArrow(run, "sig long, node long, n int")
+    return docs.select("text").mapInArrow(run, "sig long, node long, n int, p int")
 
 
 def sets_of(docs: DataFrame, reps: DataFrame) -> DataFrame:
@@ -251,9 +262,10 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.mapInArrow(run, "a long, b long")
 
 
-def _close(n: str, m: str):
-    """Sizes of which one may be linked with the other."""
-    return 100 * F.least(n, m) >= MIN_SIMILARITY * F.greatest(n, m)
+def _close(n: str, p: str, m: str, q: str):
+    """Whether sets of n and m that share a signature at places p and q, and none before, may be linked."""
+    most = F.least(F.col(n) - F.col(p), F.col(m) - F.col(q))
+    return 100 * most >= MIN_SIMILARITY * (F.col(n) + F.col(m) - most)
 
 
 def links(docs: DataFrame, nodes: DataFrame, frequent: np.ndarray) -> DataFrame | None:
@@ -267,9 +279,9 @@ def links(docs: DataFrame, nodes: DataFrame, frequent: np.ndarray) -> DataFrame
 
     central = index.groupBy("node").agg((-F.count(F.lit(1)) / F.first("n")).alias("rank"))
     ranked = index.join(central, "node")
-    pivots = ranked.groupBy("sig").agg(F.min(F.struct("rank", "node", "n")).alias("p"))
-    stars = index.join(pivots.select("sig", F.col("p.node").alias("b"), F.col("p.n").alias("m")), "sig")
-    stars = stars.filter((F.col("node") != F.col("b")) & _close("n", "m")).select(F.col("node").alias("a"), "b")
+    pivots = ranked.groupBy("sig").agg(F.min(F.struct("rank", "node", "n", "p")).alias("x"))
+    pivots = pivots.select("sig", F.col("x.node").alias("b"), F.col("x.n").alias("m"), F.col("x.p").alias("q"))
+    stars = index.join(pivots, "sig").filter((F.col("node") != F.col("b")) & _close("n", "p", "m", "q")).select(F.col("node").alias("a"), "b")
     tried = written(stars.select("a", "b").distinct(), "pairs")
 
     def check(pairs: DataFrame) -> DataFrame:
@@ -285,11 +297,15 @@ def links(docs: DataFrame, nodes: DataFrame, frequent: np.ndarray) -> DataFrame
     # Pairs of a signature that are still in different components.
     labelled = index.join(roots.withColumnRenamed("root", "c"), "node", "left").withColumn("c", F.coalesce("c", "node"))
     labelled = written(labelled, "labelled")
-    split = labelled.groupBy("sig").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("sig")
-    rest = labelled.join(split, "sig")
-    x = rest.select("sig", F.col("node").alias("a"), "n", "c")
-    y = rest.select("sig", F.col("node").alias("b"), F.col("n").alias("m"), F.col("c").alias("d"))
-    pairs = x.join(y, (x["sig"] == y["sig"]) & (F.col("a") < F.col("b")) & (F.col("c") != F.col("d")) & _close("n", "m"))
+    # First the nodes go that can't be linked even with the smallest set of the signature: they may be very many.
+    least = labelled.groupBy("sig").agg(F.min("n").alias("k"))
+    alive = labelled.join(least, "sig").filter(100 * (F.col("n") - F.col("p")) >= MIN_SIMILARITY * (F.col("k") + F.col("p"))).drop("k")
+    alive = written(alive, "alive")
+    split = alive.groupBy("sig").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("sig")
+    rest = alive.join(split, "sig")
+    x = rest.select("sig", F.col("node").alias("a"), "n", "p", "c")
+    y = rest.select("sig", F.col("node").alias("b"), F.col("n").alias("m"), F.col("p").alias("q"), F.col("c").alias("d"))
+    pairs = x.join(y, (x["sig"] == y["sig"]) & (F.col("a") < F.col("b")) & (F.col("c") != F.col("d")) & _close("n", "p", "m", "q"))
     pairs = pairs.select("a", "b").distinct()
     done = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     pairs = written(pairs.join(done, ["a", "b"], "left_anti"), "pairs")
