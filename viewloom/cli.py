@@ -76,7 +76,7 @@ def _load(a: argparse.Namespace) -> int:
     for s in out.skipped:
         print(f"skipped {s.file}: {s.reason}")
     for f in out.files:
-        print(f"{f.file}: {f.rows_loaded} rows" + f"; {f.errors[0]}" * bool(f.errors))
+        print("; ".join([f"{f.file}: {f.rows_loaded} rows", *f.errors]))
     rate = out.total_rows / out.duration_s if out.duration_s else 0
     print(f"{'would load' if a.dry_run else 'loaded'} {out.total_rows} rows of {len(out.files)} files in {out.duration_s:.1f} s ({rate:.0f} rows a second)")
     return int(out.failed)

@@ -14,9 +14,10 @@ class Token(NamedTuple):
     at: int
 
 
+_CLOCK = r"\d\d(?::\d\d(?::\d\d(?:\.\d+)?)?)?"
 _PATTERNS = [
     ("skip", r"\s+|//[^\r\n]*|/\*.*?\*/"),
-    ("date", r"@T?\d[0-9:.\-+TZ]*|@T\d\d"),
+    ("date", rf"@T{_CLOCK}|@\d{{4}}(?:-\d\d(?:-\d\d)?)?(?:T(?:{_CLOCK}(?:Z|[+-]\d\d:\d\d)?)?)?"),
     ("long", r"\d+L\b"),
     ("number", r"\d+(?:\.\d+)?"),
     ("string", r"'(?:[^'\\]|\\.)*'"),

@@ -33,11 +33,11 @@ def date_time(t: str, high: bool) -> str:
     return f"CASE WHEN instr({t}, 'T') = 0 THEN concat({day}, '{rest}{zone}') ELSE concat(left({t}, 10), 'T', {clock}, '{zone}') END"
 
 
-def by_lexeme(t: str, high: bool) -> str:
-    """The boundary of a value whose type only its text tells."""
+def by_lexeme(t: str, high: bool, is_number: str | None) -> str:
+    """The boundary of a value whose type only its text tells; is_number: SQL that tells a JSON number from a string, if it can be told."""
+    year = f"WHEN NOT {is_number} AND {t} RLIKE '^[0-9]{{4}}$' THEN {date(t, high)} " if is_number else ""
     return (
         f"CASE WHEN instr({t}, 'T') > 0 THEN {date_time(t, high)} WHEN instr({t}, ':') > 0 THEN {time(t, high)} "
-        f"WHEN instr(substring({t}, 2), '-') > 0 THEN {date(t, high)} "
-        f"WHEN {t} RLIKE '^[0-9]{{4}}$' THEN {number_text(decimal_value(t, high))} "
+        f"WHEN instr(substring({t}, 2), '-') > 0 THEN {date(t, high)} {year}"
         f"ELSE {number_text(decimal_value(t, high))} END"
     )

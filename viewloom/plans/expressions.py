@@ -122,7 +122,7 @@ def compile_literal(e: A.Literal) -> Value:
         return _scalar(f"CAST('{e.value}' AS {DECIMAL})", "decimal")
     if e.value is None:
         return _scalar("CAST(NULL AS STRING)", "string")
-    return _scalar(literal(str(e.value)), "string")
+    return Value(literal(str(e.value)), False, "string", e.kind if e.kind != "string" else None)
 
 
 def compile_expr(e: A.Expr, s: Scope) -> Value:
@@ -294,14 +294,15 @@ def _type_name(e: A.Expr) -> str:
 
 
 def _of_type(operand: A.Expr, name: str, s: Scope) -> Value:
-    """`x.value.ofType(Quantity)` is the member valueQuantity of x; resources are told by their resourceType."""
+    """`x.value.ofType(Quantity)` is the member valueQuantity of x; resources are told by their resourceType.
+
+    A member without a choice of types (`valueQuantity.value.ofType(decimal)`) is itself: documents have one or the other.
+    """
     if isinstance(operand, A.Member):
-        v = _member(operand.base, operand.name + _suffix(name), s)
+        v, plain, x = _member(operand.base, operand.name + _suffix(name), s), _member(operand.base, operand.name, s).sql, N.fresh()
         if name in RESOURCE_TYPES:
-            plain, x = _member(operand.base, operand.name, s), N.fresh()
-            own = f"filter({plain.sql}, {x} -> try_variant_get({x}, '$.resourceType', 'string') = {literal(name)})"
-            v = replace(v, sql=f"concat({v.sql}, {own})")
-        return replace(v, hint=name)
+            plain = f"filter({plain}, {x} -> try_variant_get({x}, '$.resourceType', 'string') = {literal(name)})"
+        return replace(v, sql=f"concat({v.sql}, {plain})", hint=name)
     return replace(compile_expr(operand, s), hint=name)
 
 
@@ -422,7 +423,10 @@ def _boundary(e: A.Call, s: Scope) -> Value:
     t = text(v, s)
     if kind == "decimal":
         return _scalar(boundary.decimal_value(t, high), "decimal")
-    by_kind: dict[str | None, Callable[[str, bool], str]] = {"date": boundary.date, "dateTime": boundary.date_time, "instant": boundary.date_time, "time": boundary.time, None: boundary.by_lexeme}
+    if kind is None:
+        marked = f"startswith(CAST({first(v)} AS STRING), '{N.NUMBER_MARK}')" if v.type == "variant" and s.lexemes else None
+        return _scalar(boundary.by_lexeme(t, high, marked), "string")
+    by_kind: dict[str, Callable[[str, bool], str]] = {"date": boundary.date, "dateTime": boundary.date_time, "instant": boundary.date_time, "time": boundary.time}
     if kind not in by_kind:
         raise FhirPathError(f"{e.name}() is not defined for type {kind}")
     return _scalar(by_kind[kind](t, high), "string")

@@ -232,7 +232,7 @@ register(
     view("Patient", cols(ID), cols(col("url", "url", "uri"), col("s", "value.ofType(string)", "string"), repeat=["extension", "contact.telecom"])),
     "SELECT CAST(c_custkey AS VARCHAR) AS id, url, s FROM (SELECT c_custkey, 'urn:nation' AS url, n_name AS s FROM customer JOIN nation ON c_nationkey = n_nationkey UNION ALL SELECT c_custkey, 'urn:region', NULL FROM customer "
     "UNION ALL SELECT c_custkey, 'code', NULL FROM customer "
-    f"UNION ALL SELECT c_custkey, 'name', r_name FROM {_CUSTOMER} UNION ALL SELECT c_custkey, NULL, NULL FROM customer WHERE c_custkey % 3 = 0)",
+    f"UNION ALL SELECT c_custkey, 'name', r_name FROM {_CUSTOMER} UNION ALL SELECT c_custkey, NULL, 'c' || c_custkey FROM customer WHERE c_custkey % 3 = 0)",
 )
 register(
     "repeat_nested",
@@ -309,7 +309,7 @@ def _bound(high: bool) -> tuple[dict, str]:
     f, day, clock = ("highBoundary", "1970-12-31", "59.999") if high else ("lowBoundary", "1970-01-01", "00.000")
     definition = view("Observation", cols(
         ID, col("d", f"value.ofType(Quantity).value.ofType(decimal).{f}()", "decimal"), col("dt", f"effective.ofType(dateTime).{f}()", "dateTime"),
-        col("t", f"clock.ofType(time).{f}()", "time") if False else col("day", f"@1970.{f}()", "date"),
+        col("day", f"@1970.{f}()", "date"),
     ))
     zone = "-12:00" if high else "+14:00"
     sql = (

@@ -150,6 +150,6 @@ def load_ndjson(
         )
     out = list(results.values())
     for r in out:
-        log(f"{r.file}: {r.rows_loaded} rows" + f", {r.errors[0]}" * bool(r.errors))
+        log("; ".join([f"{r.file}: {r.rows_loaded} rows", *r.errors]))
     total = sum(r.rows_loaded for r in out)
     return LoadResult(out, total, any(r.errors for r in out), time.time() - began, found.skipped, [warning] if warning else [])
