@@ -60,7 +60,7 @@ class Model:
         self.langs = langs
         self.index: list[dict[str, int]] = [{} for _ in range(LONGEST + 1)]
         self.scores: list[np.ndarray] = []
-        for n in range(LONGEST + 1):
+        for n in range(LONGEST + 1 if langs else 0):
             keys = sorted(k for m, k in counts if m == n)
             self.index[n] = {k: i for i, k in enumerate(keys)}
             c = np.array([counts[n, k] for k in keys], dtype=float).reshape(len(keys), len(langs))

@@ -257,7 +257,7 @@ def main_text(page: str, template: Template | None) -> str:
     return "\n".join(b.text for b in blocks if under(b.node.path) and b.node.path not in fixed)
 
 
-_STATS = "host string, path long, parent long, n long, text long, links long, hash long"
+_STATS = "host string, page long, path long, parent long, n long, text long, links long, hash long"
 
 
 def host_of():
@@ -270,16 +270,14 @@ def templates(pages: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for host, page in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist()):
-                rows += [(host, p, *s) for p, s in _page_stats(page or "").items()]
-            cols = list(zip(*rows)) or [()] * 7
+            for host, key, page in zip(*(batch.column(c).to_pylist() for c in ("host", "page", "html"))):
+                rows += [(host, key, p, *s) for p, s in _page_stats(page or "").items()]
+            cols = list(zip(*rows)) or [()] * 8
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), *(pa.array(c, pa.int64()) for c in cols[1:])], names=[x.split()[0] for x in _STATS.split(", ")])
 
-    tokens = pages.select(host_of().alias("host"), F.col("page_id").alias("page"), "html")
-    # The page's own key goes along as a hash, from which the vector's fingerprint is made.
-    keyed = tokens.withColumn("host", F.concat_ws("\n", "host", F.xxhash64("page", "html").cast("string")))
-    stats = keyed.select("host", "html").mapInArrow(run, _STATS)
-    stats = stats.withColumn("page", F.substring_index("host", "\n", -1)).withColumn("host", F.substring_index("host", "\n", 1))
+    # A page is told from others by a hash, from which the vectors' fingerprints are made.
+    keyed = pages.select(host_of().alias("host"), F.xxhash64("page_id", "html").alias("page"), "html")
+    stats = keyed.mapInArrow(run, _STATS)
     by_token = stats.groupBy("host", "path").agg(
         F.min("parent").alias("parent"), F.count(F.lit(1)).alias("pages"), F.bit_xor(F.xxhash64("page", "n")).alias("vector"),
         F.sum("text").alias("text"), F.sum("links").alias("links"), (F.min("hash") == F.max("hash")).alias("same"),
