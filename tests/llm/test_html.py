@@ -43,6 +43,12 @@ def test_main_and_role():
     assert one('<body><main><p>m</p><nav>n</nav></main></body>') == "m"
 
 
+def test_headers_and_wrappers():
+    assert one('<body><header><h1>Site</h1></header><article><header><h1>Title</h1><p>by me</p></header><p>a</p></article></body>') == "Title\na"
+    assert one('<body><div class="content with-sidebar"><article><p>a</p></article></div><section class="related"><article><h2>Other</h2></article></section></body>') == "a"
+    assert one('<article><h2 class="header">T</h2><p>a</p><ol class="comments"><li><article><p>c</p></article></li></ol><p>b</p></article>') == "T\na\nb"
+
+
 def test_density_without_marks():
     body = '<div id="top"><p><a href="/">Home</a> <a href="/b">B</a></p></div><div id="x"><p>Long text of the page.</p><p>More text here.</p></div><div class="sidebar"><p>Side text that is rather long as well, yes indeed it is.</p></div>'
     assert one(page("", body=body)) == "Long text of the page.\nMore text here."

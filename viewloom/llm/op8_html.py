@@ -66,7 +66,7 @@ class Node(NamedTuple):
     path: int  # hash of the path of block tags
     parent: int
     main: bool  # in a marked main element
-    furniture: bool
+    furniture: int  # 0: none, HEADER: in a header only, OTHER: in other furniture
     link: bool
 
 
@@ -80,12 +80,13 @@ def _hash(parent: int, key: str) -> int:
     return xxhash.xxh64_intdigest(key, parent & 0xFFFFFFFFFFFFFFFF) & 0x7FFFFFFFFFFFFFFF
 
 
-ROOT = Node("", _hash(0, ""), 0, False, False, False)
+HEADER, OTHER = 1, 2
+ROOT = Node("", _hash(0, ""), 0, False, 0, False)
 
 
 @functools.lru_cache(maxsize=4096)
-def _look(name: str, attributes: str) -> tuple[str, bool, bool]:
-    """(key, marks the main text, is furniture) of an opening tag."""
+def _look(name: str, attributes: str) -> tuple[str, bool, int]:
+    """(key, marks the main text, kind of furniture) of an opening tag."""
     words: list[str] = []
     main = name in MAIN_TAGS
     for m in _MARK.finditer(attributes):
@@ -96,9 +97,8 @@ def _look(name: str, attributes: str) -> tuple[str, bool, bool]:
             words += [w for w in _SPLIT.split(value) if w]
         elif what == "role" and value in ("navigation", "banner", "contentinfo", "complementary", "search", "form"):
             words.append("nav")
-    furniture = name in FURNITURE_TAGS or not FURNITURE.isdisjoint(words)
-    if name in ("html", "body"):
-        furniture = False
+    kinds = FURNITURE.intersection(words) | ({name} & FURNITURE_TAGS)
+    furniture = 0 if not kinds or name in ("html", "body") else HEADER if kinds == {"header"} else OTHER
     return name + "." + ".".join(sorted(set(words))), main and not furniture, furniture
 
 
@@ -155,16 +155,16 @@ def blocks_of(page: str) -> tuple[list[Block], list[Node]]:
                     break
                 if stack[i].name in scope:
                     break
-            if name in ("article", "main", "body") and any(x.furniture for x in stack):
-                # An unclosed menu or head ends where the page's body or main text begins.
+            if (name == "body" or name in MAIN_TAGS and not any(x.main for x in opened)) and any(x.furniture for x in stack):
+                # An unclosed menu or head ends where the page's body or its first main element begins.
                 del stack[next(i for i, x in enumerate(stack) if x.furniture) :]
         top = stack[-1]
         key, main, furniture = _look(name, m[3] or "")
-        if name in HEADINGS and not FURNITURE.isdisjoint(key.split(".")[1:]):
-            furniture = False  # a class such as "header" on a heading names its looks
+        if name in HEADINGS and furniture == HEADER:
+            furniture = 0  # the class "header" on a heading names its looks
         path = _hash(top.path, key) if block else top.path
-        kept_heading = name in HEADINGS and top.main and any(x.name == "header" for x in stack)
-        node = Node(name, path, top.path if block else top.parent, top.main or (main and not top.furniture), (top.furniture and not kept_heading) or furniture, top.link or name == "a")
+        around = 0 if name in HEADINGS and top.main and top.furniture == HEADER else top.furniture  # the article's own title
+        node = Node(name, path, top.path if block else top.parent, top.main or (main and not top.furniture), max(around, furniture), top.link or name == "a")
         if block:
             opened.append(node)
         if name in RAW and not token.endswith("/>"):
