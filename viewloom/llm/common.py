@@ -34,9 +34,18 @@ def written(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    release(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark's cleaner delete the shuffle files of finished queries, which it does for plans that the driver's JVM has collected.
+
+    Without it they stay on the executors' disks until the driver happens to collect its garbage.
+    """
+    spark.sparkContext._jvm.System.gc()
+
+
 def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
     """Broadcast hint only if df was counted and holds at most max_rows rows; beyond that a shuffled join serves."""
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
@@ -62,7 +71,7 @@ def marks(keys: DataFrame, key_hash):
 
     bits = 1 << 16
     n = keys.count()
-    while bits < min(8 * n, MAX_MARKS):
+    while bits < min(32 * n, MAX_MARKS):
         bits <<= 1
     slot = F.pmod(key_hash, F.lit(bits)).cast("long")
     word = keys.select(slot.alias("s")).groupBy(F.shiftright("s", 6).alias("w"))

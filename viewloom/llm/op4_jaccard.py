@@ -90,21 +90,22 @@ def size_class(n: int) -> int:
     return int(np.searchsorted(_BOUNDS, n, side="right"))
 
 
-def signatures(s: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def signatures(s: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
     """The signatures of a set (sorted hashes), given the sketch's slots of the frequent class, and their places.
 
     The place of a rare shingle is the number of shingles before it, that of a combination the number of the set's rare
-    shingles: if no signature with an earlier place is shared, the linked set misses that many.
+    shingles: if no signature with an earlier place is shared, the linked set misses that many. Last, the
+    number of rare shingles among the signatures; they come first.
     """
     n = len(s)
     if n <= 1 or slack(n) == 0 and slack(n + 1) == 0:
-        return _EMPTY, _EMPTY  # too small to be linked with a different set
+        return _EMPTY, _EMPTY, 0  # too small to be linked with a different set
     need = slack(n) + 1
     often = frequent[s >> _SHIFT]
     rare = s[~often][:need]
     places = np.arange(len(rare), dtype=np.uint64)
     if len(rare) == need:
-        return rare, places
+        return rare, places, need
     out, freq, more = [], s[often], need - len(rare)
     own = size_class(n)
     for c in (own, own + 1):
@@ -121,7 +122,7 @@ def signatures(s: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, np.ndar
             out.append(_mix(p[:-lag][same] * _ODD[0] + p[lag:][same] * _ODD[1] + salt))
             lag += 1
     pairs = np.unique(np.concatenate(out))
-    return np.concatenate([rare, pairs]), np.concatenate([places, np.full(len(pairs), len(rare), np.uint64)])
+    return np.concatenate([rare, pairs]), np.concatenate([places, np.full(len(pairs), len(rare), np.uint64)]), len(rare)
 
 
 def set_id(s: np.ndarray) -> int:
@@ -183,7 +184,10 @@ def frequent_slots(sketch: DataFrame) -> np.ndarray:
 
 
 def all_signatures(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
-    """(sig, node, n, p) of every set, p being the signature's place; a task gives a set's signatures once."""
+    """(sig, node, n, p, k) of every set; a task gives a set's signatures once.
+
+    p is the signature's place, k the number of rare shingles among the set's signatures: p < k tells a shingle from a combination.
+    """
     packed = np.packbits(frequent).tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,23 +195,24 @@ def all_signatures(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
         seen: set[int] = set()
         for batch in batches:
             for lo in range(0, batch.num_rows, SLICE):
-                sigs, places, ids, ns = [_EMPTY], [_EMPTY], [], []
+                sigs, places, ids, ns, ks = [_EMPTY], [_EMPTY], [], [], []
                 for text in batch.column("text").slice(lo, SLICE).to_pylist():
                     s = shingles(text)
                     if len(s) and (name := set_id(s)) not in seen:
                         seen.add(name)
-                        own, at = signatures(s, flags)
+                        own, at, rare = signatures(s, flags)
                         sigs.append(own)
                         places.append(at)
+                        ks.append(rare)
                         ids.append(name)
                         ns.append(len(s))
                 times = [len(x) for x in sigs[1:]]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(sigs).view(np.int64)), *(pa.array(np.repeat(np.array(x, t), times)) for x, t in ((ids, np.int64), (ns, np.int32))), pa.array(np.concatenate(places).astype(np.int32))],
-                    names=["sig", "node", "n", "p"],
+                    [pa.array(np.concatenate(sigs).view(np.int64)), *(pa.array(np.repeat(np.array(x, t), times)) for x, t in ((ids, np.int64), (ns, np.int32))), pa.array(np.concatenate(places).astype(np.int32)), pa.array(np.repeat(np.array(ks, np.int32), times))],
+                    names=["sig", "node", "n", "p", "k"],
                 )
 
-    return docs.select("text").mapInArrow(run, "sig long, node long, n int, p int")
+    return docs.select("text").mapInArrow(run, "sig long, node long, n int, p int, k int")
 
 
 def sets_of(docs: DataFrame, reps: DataFrame) -> DataFrame:
@@ -268,6 +273,11 @@ def _close(n: str, p: str, m: str, q: str):
     return 100 * most >= MIN_SIMILARITY * (F.col(n) + F.col(m) - most)
 
 
+def _need(n: str):
+    """The number of rare shingles that make a prefix, as `signatures` has it."""
+    return F.col(n) - F.floor((MIN_SIMILARITY * F.col(n) + 99) / 100) + 1
+
+
 def links(docs: DataFrame, nodes: DataFrame, frequent: np.ndarray) -> DataFrame | None:
     """(node, root) of all nodes that are linked with another one; None if there are none."""
     sigs = written(all_signatures(docs, frequent), "signatures")
@@ -286,7 +296,8 @@ def links(docs: DataFrame, nodes: DataFrame, frequent: np.ndarray) -> DataFrame
 
     def check(pairs: DataFrame) -> DataFrame:
         wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-        sets = written(sets_of(docs, written(reps.join(wanted, "node"), "wanted")).join(wanted, "node", "left_semi").dropDuplicates(["node"]), "sets")
+        # A set may come twice, where the bitmap marks a copy by chance: its links then come twice too.
+        sets = written(sets_of(docs, written(reps.join(wanted, "node"), "wanted")), "sets")
         found = written(verified(pairs, sets), "links")
         discard(sets)
         return found
@@ -297,16 +308,23 @@ def links(docs: DataFrame, nodes: DataFrame, frequent: np.ndarray) -> DataFrame
     # Pairs of a signature that are still in different components.
     labelled = index.join(roots.withColumnRenamed("root", "c"), "node", "left").withColumn("c", F.coalesce("c", "node"))
     labelled = written(labelled, "labelled")
-    # First the nodes go that can't be linked even with the smallest set of the signature: they may be very many.
-    least = labelled.groupBy("sig").agg(F.min("n").alias("k"))
-    alive = labelled.join(least, "sig").filter(100 * (F.col("n") - F.col("p")) >= MIN_SIMILARITY * (F.col("k") + F.col("p"))).drop("k")
-    alive = written(alive, "alive")
+    # Of the combinations, first those nodes go that can't be linked even with the signature's smallest set: they may be very many.
+    smallest = labelled.groupBy("sig").agg(F.min("n").alias("least"))
+    room = 100 * (F.col("n") - F.col("p")) >= MIN_SIMILARITY * (F.col("least") + F.col("p"))
+    alive = written(labelled.join(smallest, "sig").filter((F.col("p") < F.col("k")) | room).drop("least"), "alive")
     split = alive.groupBy("sig").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("sig")
     rest = alive.join(split, "sig")
-    x = rest.select("sig", F.col("node").alias("a"), "n", "p", "c")
-    y = rest.select("sig", F.col("node").alias("b"), F.col("n").alias("m"), F.col("p").alias("q"), F.col("c").alias("d"))
-    pairs = x.join(y, (x["sig"] == y["sig"]) & (F.col("a") < F.col("b")) & (F.col("c") != F.col("d")) & _close("n", "p", "m", "q"))
-    pairs = pairs.select("a", "b").distinct()
+    x = rest.select("sig", F.col("node").alias("a"), "n", "p", "k", "c")
+    y = rest.select("sig", F.col("node").alias("b"), F.col("n").alias("m"), F.col("p").alias("q"), F.col("k").alias("l"), F.col("c").alias("d"))
+    sizes = 100 * F.least("n", "m") >= MIN_SIMILARITY * F.greatest("n", "m")
+    pairs = x.join(y, (x["sig"] == y["sig"]) & (F.col("a") < F.col("b")) & (F.col("c") != F.col("d")) & sizes & ((F.col("p") < F.col("k")) | _close("n", "p", "m", "q")))
+    # Shared shingles: the shared rare signatures, and of the others at most those after the rare ones in one of the sets, or
+    # in both if both sets gave all their rare shingles.
+    pairs = pairs.groupBy("a", "b", "n", "m", "k", "l").agg(F.count_if(F.col("p") < F.col("k")).alias("shared"))
+    all_rare = (F.col("k") < _need("n")) & (F.col("l") < _need("m"))
+    rest_of = [F.col("n") - F.col("k"), F.col("m") - F.col("l")]
+    most = F.least("n", "m", F.col("shared") + F.when(all_rare, F.least(*rest_of)).otherwise(F.greatest(*rest_of)))
+    pairs = pairs.filter(100 * most >= MIN_SIMILARITY * (F.col("n") + F.col("m") - most)).select("a", "b")
     done = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     pairs = written(pairs.join(done, ["a", "b"], "left_anti"), "pairs")
     if pairs.isEmpty():
