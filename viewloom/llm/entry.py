@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import op1_pii, op2_sharding, op3_langid, op4_jaccard, op5_secrets, op6_licenses, op7_decontam, op8_html, op9_packing, op10_imatch
+from . import op1_pii, op2_sharding, op3_langid, op4_jaccard, op4_sql, op5_secrets, op6_licenses, op7_decontam, op8_html, op9_packing, op10_imatch
 
 QUERIES = {
     "op1_pii_boosting": op1_pii.query,
@@ -18,5 +18,6 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op4_jaccard_join": op4_sql.SQL,
     "op7_decontamination": op7_decontam.SQL,
 }
