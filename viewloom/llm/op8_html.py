@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, read_table
+from .common import broadcast_if_small, read_table, written
 
 MIN_SUPPORT = 0.5
 #: Hosts whose templates are broadcast (about 1 KB each); beyond, they are joined by a shuffle.
@@ -282,6 +282,7 @@ def templates(pages: DataFrame) -> DataFrame:
         F.min("parent").alias("parent"), F.count(F.lit(1)).alias("pages"), F.bit_xor(F.xxhash64("page", "n")).alias("vector"),
         F.sum("text").alias("text"), F.sum("links").alias("links"), (F.min("hash") == F.max("hash")).alias("same"),
     )
+    by_token = written(by_token, "tokens")  # read three times below; the pages are walked once for it
     total = by_token.filter(F.col("path") == ROOT.path).select("host", F.col("pages").alias("host_pages"))
     kept = by_token.join(total, "host").filter(F.col("pages") >= F.greatest(F.lit(2), MIN_SUPPORT * F.col("host_pages")))
     # At most (tokens of a page) / MIN_SUPPORT rows for each host.
