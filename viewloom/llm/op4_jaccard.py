@@ -343,6 +343,7 @@ def classes(docs: DataFrame) -> DataFrame:
     by_root = least.join(roots, "node").groupBy("root").agg(F.min("least").alias("c"))
     named = least.join(roots.join(by_root, "root"), "node", "left")
     named = named.select("node", F.coalesce("root", "node").alias("class"), F.coalesce("c", "least").alias("c"))
+    named = written(named, "named")  # a table of its own: only a join of two plain inputs is split where many rows share a node
     return nodes.join(named, "node", "left").select("doc_id", "text_hash", "n", "class", F.coalesce("c", "doc_id").alias("component_id"))
 
 
