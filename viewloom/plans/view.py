@@ -88,7 +88,6 @@ class _Compiler:
         self.generators: list[str] = []
         constants = {c.name: _constant(c) for c in view.constants}
         self.scope = X.Scope("_doc", resource=view.resource, lexemes=needs_lexemes(view) and not table.variant, constants=constants)
-        self.types = {}
 
     def expression(self, path: str, scope: X.Scope, where: str) -> X.Value:
         try:
@@ -148,7 +147,7 @@ class _Compiler:
         for s in n.selects:
             out += self.node(s, scope)
         if n.union_all:
-            sql, names = rows.union([self.rows(b, scope, n.union_all[0]) for b in n.union_all])
+            sql, names = self.union(n, scope, {})
             g = f"g{len(self.generators) + 1}"
             self.generators.append(f"LATERAL VIEW inline({sql}) {g} AS {', '.join(f'{g}_c{i}' for i in range(len(names)))}")
             out += [(name, f"{g}_c{i}") for i, name in enumerate(names)]
@@ -156,8 +155,12 @@ class _Compiler:
 
     # Rows as arrays of structs, for branches of unions.
 
-    def rows(self, n: SelectNode, scope: X.Scope, like: SelectNode) -> rows.Rows:
-        types = {c.name: c for c in like.column_defs()}
+    def union(self, n: SelectNode, scope: X.Scope, types: dict[str, ColumnDef]) -> rows.Rows:
+        """The rows of all branches; a column has the type that types or else the first branch gives it."""
+        types = {c.name: c for c in n.union_all[0].column_defs()} | types
+        return rows.union([self.rows(b, scope, types) for b in n.union_all])
+
+    def rows(self, n: SelectNode, scope: X.Scope, types: dict[str, ColumnDef]) -> rows.Rows:
         items = self.iterated(n, scope)
         if items is None:
             return self.body(n, scope, types)
@@ -173,10 +176,9 @@ class _Compiler:
         parts: list[rows.Rows] = []
         if n.columns:
             parts.append(rows.one_row([(c.name, self.cell(c, scope, types.get(c.name))) for c in n.columns]))
-        for s in n.selects:
-            parts.append(self.rows(s, scope, s))
+        parts += [self.rows(s, scope, types) for s in n.selects]
         if n.union_all:
-            parts.append(rows.union([self.rows(b, scope, n.union_all[0]) for b in n.union_all]))
+            parts.append(self.union(n, scope, types))
         out = parts[0]
         for p in parts[1:]:
             out = rows.cross(out, p)
