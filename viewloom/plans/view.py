@@ -203,13 +203,15 @@ class _Compiler:
         else:
             as_text = f"r.{json_column}"
             doc = f"try_parse_json({N.quoted_numbers(as_text) if self.scope.lexemes else as_text})"
-        base = [f"r.{quoted(t.id_column)} AS _id", "r.resource_type AS _rt", f"{doc} AS _doc"]
+        # A generator of one row, so that a document is parsed once: a plain column would be put into each condition above it.
+        parsed = f"LATERAL VIEW explode(array({doc})) d AS _doc"
+        base = [f"r.{quoted(t.id_column)} AS _id", "r.resource_type AS _rt", "d._doc"]
         if any(n.repeat for n in _all(self.view.selects)):
             base.append(f"greatest(1, {repeat.depth(as_text)}) AS _levels")
         keep = [f"r.resource_type = {literal(self.view.resource)}"]
         if t.test_id is not None:
             keep.append(f"r.test_id = {literal(t.test_id)}")
-        sql = f"WITH docs AS (SELECT {', '.join(base)} FROM {t.name} r WHERE {' AND '.join(keep)})"
+        sql = f"WITH docs AS (SELECT {', '.join(base)} FROM {t.name} r {parsed} WHERE {' AND '.join(keep)})"
         source = "docs"
         if conditions:
             sql += f", kept AS (SELECT * FROM docs WHERE {' AND '.join(f'({c})' for c in conditions)})"
