@@ -340,10 +340,11 @@ def classes(docs: DataFrame) -> DataFrame:
     frequent = frequent_slots(first.filter(F.col("chunk").isNotNull()).select("chunk", "counts"))
     roots = links(base, nodes, frequent)
     least = nodes.filter(F.col("node").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("least"))
-    by_root = least.join(roots, "node").groupBy("root").agg(F.min("least").alias("c"))
+    by_root = written(least.join(roots, "node").groupBy("root").agg(F.min("least").alias("c")), "classes")
     named = least.join(roots.join(by_root, "root"), "node", "left")
     named = named.select("node", F.coalesce("root", "node").alias("class"), F.coalesce("c", "least").alias("c"))
-    named = written(named, "named")  # a table of its own: only a join of two plain inputs is split where many rows share a node
+    # Tables of their own: only a join of two plain inputs is split where many rows share a root or a node.
+    named = written(named, "named")
     return nodes.join(named, "node", "left").select("doc_id", "text_hash", "n", "class", F.coalesce("c", "doc_id").alias("component_id"))
 
 
