@@ -81,6 +81,15 @@ def test_classes():
     assert t.tokens == {H.ROOT.path, 11, 12, 13} and t.fixed == {13} and t.main == 11
 
 
+def test_marked_pages_are_extracted_by_the_template(spark):
+    same = '<p class="note">This note stands in the article of every page.</p><ul class="more"><li><a href="/x">Read {0} and more</a></li></ul>'
+    rows = [(f"https://a.com/{i}", page(f"<h1>Title {i}</h1><p>Story {i}.</p>{same.format(i)}")) for i in range(5)]
+    rows.append(("https://one.com/", page("<p>Story.</p>" + same)))  # no template: the mark as it is
+    out = {r["page_id"]: r["text"] for r in H.extract(pages(spark, rows)).collect()}
+    assert [out[i] for i in range(5)] == [f"Title {i}\nStory {i}." for i in range(5)]
+    assert out[5].startswith("Story.\nThis note stands")
+
+
 def test_query_rows(spark):
     rows = [("https://a.com/1", page("<p>x</p>")), ("https://a.com/1", page("<p>x</p>")), (None, None), ("odd url", ""), ("https://A.com:80/2", page("<p>" + "long " * 50_000 + "</p>")), ("https://u@a.com/3", page(""))]
     out = {r["page_id"]: r for r in H.extract(pages(spark, rows)).collect()}

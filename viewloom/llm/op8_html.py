@@ -8,10 +8,12 @@ whose tokens stand in one another or in a class already in the template are nest
 between template tokens are slots. Slots that hold the same text on every page, and slots whose text is
 mostly links, belong to the template's furniture; of the others, the one with the most text is the host's main slot.
 
-A page that marks its main text itself (article, main, role=main, itemprop=articleBody) has it taken from
-there; others have it taken from the host's main slot, or, on hosts with too few pages, from the page's own
-block with the most text outside links. Inside the main text, and everywhere else, elements that are furniture by their
-name or class (FURNITURE) are left out.
+Every page's text is taken from the slots that aren't the template's furniture. A page's own mark of its main text
+(article, main, role=main, itemprop=articleBody) only chooses among them: of a page with text of such slots inside its
+mark, that text is taken; if the template leaves nothing of the mark, or the host has too few pages for a template, the
+mark as it is. Pages without a mark have their text taken from the host's main slot, or, on hosts with too few pages,
+from the page's own block with the most text outside links. Inside the main text, and everywhere else, elements that
+are furniture by their name or class (FURNITURE) are left out.
 
 Text is decoded, white space inside a block becomes one space, blocks are trimmed and joined by a newline.
 
@@ -196,6 +198,7 @@ class Template(NamedTuple):
     tokens: frozenset[int]
     fixed: frozenset[int]  # slots with the same text on all pages
     main: int | None
+    links: frozenset[int] = frozenset()  # slots whose text is mostly links
 
 
 def deduce(rows: list[dict], pages: int) -> Template:
@@ -222,15 +225,18 @@ def deduce(rows: list[dict], pages: int) -> Template:
         if r and p not in fixed and r["text"] > 2 * r["links"]:
             weight[r["parent"]] = weight.get(r["parent"], 0) + r["text"] - r["links"]
     main = max(weight, key=lambda p: (weight[p], -p), default=None)
-    return Template(frozenset(inside), fixed, main)
+    links = frozenset(p for p in inside if p in supported and 0 < supported[p]["text"] <= 2 * supported[p]["links"])
+    return Template(frozenset(inside), fixed, main, links)
 
 
 def main_text(page: str, template: Template | None) -> str:
     """The main text of a page."""
     blocks, opened = blocks_of(page)
-    if any(n.main for n in opened):
-        return "\n".join(b.text for b in blocks if b.node.main and not b.node.furniture)
     blocks = [b for b in blocks if not b.node.furniture]
+    if any(n.main for n in opened):
+        marked = [b for b in blocks if b.node.main]
+        slots = [b for b in marked if b.node.path not in template.fixed and b.node.path not in template.links] if template else []
+        return "\n".join(b.text for b in slots or marked)
     parents = {n.path: n.parent for n in opened}
     root = template.main if template else None
     if root is None or root not in parents:
