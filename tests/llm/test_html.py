@@ -90,6 +90,18 @@ def test_marked_pages_are_extracted_by_the_template(spark):
     assert out[5].startswith("Story.\nThis note stands")
 
 
+def test_copies_are_one_page(spark):
+    def plain(i):
+        return page("", body=f'<div class="w"><p>Welcome.</p></div><div class="b"><p>Story {i}.</p></div>')
+
+    rows = [("https://copies.com/", plain(0))] * 5 + [("https://most.com/", plain(0))] * 9 + [(f"https://most.com/{i}", plain(i)) for i in (1, 2)]
+    rows += [(f"https://foot.com/{i}", page("", host=f"{i}.com", body='<div class="b"><p>One story.</p></div>')) for i in range(4)]
+    out = {r["page_id"]: r["text"] for r in H.extract(pages(spark, rows)).collect()}
+    assert all("Story 0." in out[i] for i in range(5))
+    assert [out[i] for i in range(5, 16)] == ["Story 0."] * 9 + ["Story 1.", "Story 2."]
+    assert [out[i] for i in range(16, 20)] == ["One story."] * 4
+
+
 def test_query_rows(spark):
     rows = [("https://a.com/1", page("<p>x</p>")), ("https://a.com/1", page("<p>x</p>")), (None, None), ("odd url", ""), ("https://A.com:80/2", page("<p>" + "long " * 50_000 + "</p>")), ("https://u@a.com/3", page(""))]
     out = {r["page_id"]: r for r in H.extract(pages(spark, rows)).collect()}

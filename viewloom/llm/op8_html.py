@@ -1,6 +1,6 @@
 """HTML main-text extraction by equivalence-class template deduction.
 
-A page's tokens are its block tags, each with its role: the path of block tags that are open around it. A
+A host's pages are its distinct html texts; copies count once. A page's tokens are its block tags, each with its role: the path of block tags that are open around it. A
 token's occurrence vector in a host is the number of its occurrences on each of the host's pages; vectors are compared by a
 fingerprint that is aggregated over pages, so no task gathers a host. Tokens of a host with equal vectors
 are an equivalence class; classes that occur on at least MIN_SUPPORT of the host's pages (two at least) and
@@ -225,6 +225,8 @@ def deduce(rows: list[dict], pages: int) -> Template:
         if r and p not in fixed and r["text"] > 2 * r["links"]:
             weight[r["parent"]] = weight.get(r["parent"], 0) + r["text"] - r["links"]
     main = max(weight, key=lambda p: (weight[p], -p), default=None)
+    if main is None:
+        fixed = frozenset()  # nothing but fixed text: the pages are copies of one text, not furniture around others
     links = frozenset(p for p in inside if p in supported and 0 < supported[p]["text"] <= 2 * supported[p]["links"])
     return Template(frozenset(inside), fixed, main, links)
 
@@ -281,9 +283,9 @@ def templates(pages: DataFrame) -> DataFrame:
             cols = list(zip(*rows)) or [()] * 8
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), *(pa.array(c, pa.int64()) for c in cols[1:])], names=[x.split()[0] for x in _STATS.split(", ")])
 
-    # A page is told from others by a hash, from which the vectors' fingerprints are made.
-    keyed = pages.select(host_of().alias("host"), F.xxhash64("page_id", "html").alias("page"), "html")
-    stats = keyed.mapInArrow(run, _STATS)
+    # A page is told from others by the hash of its html, from which the vectors' fingerprints are made; copies are one page.
+    keyed = pages.select(host_of().alias("host"), F.xxhash64("html").alias("page"), "html")
+    stats = keyed.mapInArrow(run, _STATS).dropDuplicates(["host", "path", "page"])
     by_token = stats.groupBy("host", "path").agg(
         F.min("parent").alias("parent"), F.count(F.lit(1)).alias("pages"), F.bit_xor(F.xxhash64("page", "n")).alias("vector"),
         F.sum("text").alias("text"), F.sum("links").alias("links"), (F.min("hash") == F.max("hash")).alias("same"),
