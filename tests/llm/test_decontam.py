@@ -56,7 +56,7 @@ def test_query_rows(spark, make, rows, items):
 
 
 def test_without_broadcast(spark, make, rows, items, monkeypatch):
-    monkeypatch.setattr(D, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(D, "MAX_BYTES", 0)
     out = D.judge(make(rows), _items(spark, items)).drop("text_hash", "spans")
     assert sorted(map(tuple, out.collect()), key=str) == brute(rows, items)
 

@@ -71,6 +71,17 @@ def test_components_by_brute_force(make, seed):
     assert got(J.join(make(rows))) == brute(rows)
 
 
+@pytest.mark.parametrize("heavy", [1, 3])
+def test_heavy_signatures(make, heavy, monkeypatch):
+    """Rare signatures of more than HEAVY sets become frequent, round after round: the components stay the same."""
+    monkeypatch.setattr(J, "HEAVY", heavy)
+    r = random.Random(heavy)
+    common = prose(99, 40)
+    texts = family(r, prose(7, 80), 25, 5) + family(r, prose(8, 14), 12, 1) + [f"{prose(3000 + i, 9)} {common}" for i in range(15)] + [prose(i, 30) for i in range(8)]
+    rows = list(enumerate(texts))
+    assert got(J.join(make(rows))) == brute(rows)
+
+
 def test_odd_rows(make, odd_rows, spark):
     assert got(J.join(make(odd_rows))) == brute(odd_rows)
     assert J.join(make([])).count() == 0
@@ -99,7 +110,8 @@ def test_linked_sets_share_a_signature(n, seed, often, changed):
     b = np.sort(np.concatenate([keep, r.choice(rest, min(len(rest), int(changed / 2 * n)), replace=False)]))
     shared = len(np.intersect1d(a, b))
     if len(b) and 100 * shared >= 80 * (len(a) + len(b) - shared) and len(np.setxor1d(a, b)):
-        (sa, pa, ka), (sb, pb, kb) = J.signatures(a, frequent), J.signatures(b, frequent)
+        heavy = np.sort(r.choice(universe, int(r.random() * n), replace=False))
+        (sa, pa, ka), (sb, pb, kb) = J.signatures(a, frequent, heavy), J.signatures(b, frequent, heavy)
         at, to = dict(zip(sa.tolist(), pa.tolist())), dict(zip(sb.tolist(), pb.tolist()))
         both = at.keys() & to.keys()
         # A rare shingle is shared, or a combination whose places leave room for the overlap.

@@ -29,7 +29,7 @@ def _mark(edges: DataFrame) -> tuple:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root) of every node of the edges (a, b); root is the smallest node that it reaches.
+    """(node, root) of every node of the edges (a, b), as a written table; root is the smallest node that it reaches.
 
     A round halves the distances, so the number of rounds follows the logarithm of the largest component. Only
     joins, whose hot keys can be split, and aggregations that combine before the shuffle are used.
@@ -46,4 +46,6 @@ def components(edges: DataFrame) -> DataFrame:
             break
         mark = new
     roots = now.select(F.col("b").alias("node"), F.col("a").alias("root"))
-    return roots.union(now.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())
+    out = written(roots.union(now.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct()), "roots")
+    discard(now)
+    return out

@@ -10,8 +10,8 @@ from the base to one more shard changes no weight but the new region's: rows mov
 shard. Weights are the numbers of leaves below a node.
 
 Defined results: a null key is hashed like any value (all null keys share a shard); a null text counts as
-no bytes; rows that are equal in all columns get different slots of the same shard; an empty table gives
-an empty result; other input columns are ignored.
+no bytes; rows that are equal in all columns get different slots of the same shard; a very long text is only measured;
+an empty table gives an empty result; other input columns are ignored.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import read_table
+from .common import read_table, written
 
 N_SHARDS = 16
 RACKS_PER_REGION = 2
@@ -79,24 +79,26 @@ def shard_of(key: Column, tree: Tree) -> Column:
     return _winner(key, [(name, weight(region), racks(region)) for name, region in tree.items()]).cast("int")
 
 
-def assign_slots(rows: DataFrame, order: list[str]) -> DataFrame:
+def assign_slots(rows: DataFrame) -> DataFrame:
     """Adds `slot`: gapless from 0 in each shard, without gathering a shard in one task.
 
-    Rows are numbered within (shard, bucket); the offset of a bucket is the number of rows in the shard's
-    buckets before it, from a table of at most shards x SLOT_BUCKETS rows.
+    The rows get a number of their own and are written. Within (shard, bucket) they are counted by that number, which also
+    deals out the buckets, so that rows with the same key or with the same text spread over all of them; the offset of a
+    bucket is the number of rows in the shard's buckets before it, from a table of at most shards x SLOT_BUCKETS rows.
     """
-    rows = rows.withColumn("_bucket", F.pmod(F.xxhash64(*order, F.lit("slot")), F.lit(SLOT_BUCKETS)).cast("int"))
+    rows = written(rows.withColumn("_row", F.monotonically_increasing_id()), "sharded")
+    rows = rows.withColumn("_bucket", F.pmod(F.xxhash64("_row"), F.lit(SLOT_BUCKETS)).cast("int"))
     before = Window.partitionBy("shard").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     base = (
         rows.groupBy("shard", "_bucket").agg(F.count(F.lit(1)).alias("_n"))
         .select("shard", "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
     )
-    within = Window.partitionBy("shard", "_bucket").orderBy(*order)
+    within = Window.partitionBy("shard", "_bucket").orderBy("_row")
     numbered = rows.withColumn("_rn", F.row_number().over(within))
     return (
-        numbered.join(base, ["shard", "_bucket"])
+        numbered.join(F.broadcast(base), ["shard", "_bucket"])
         .withColumn("slot", (F.col("_base") + F.col("_rn") - 1).cast("long"))
-        .drop("_bucket", "_rn", "_base")
+        .drop("_bucket", "_rn", "_base", "_row")
     )
 
 
@@ -110,7 +112,7 @@ def shard_documents(docs: DataFrame, tree: Tree, grown: Tree | None = None, key:
         shard_of(F.col(key), tree).alias("shard"),
         (shard_of(F.col(key), grown) if grown else F.lit(None).cast("int")).alias("grown_shard"),
     )
-    return assign_slots(rows, ["doc_id", "size", "text_crc32"])
+    return assign_slots(rows)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

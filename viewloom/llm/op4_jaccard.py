@@ -13,6 +13,13 @@ prefix and each further one counts as one, so that a shared signature remains wh
 are missing. The number of groups follows the class of the set's size (classes grow by SIZE_STEP, so linked
 sets are in the same class or in neighbours; a set gives the pairs of its own class and of the next one).
 
+The sketch only guesses: in a large corpus a slot's mean hides shingles that thousands of sets share. So the rare signatures
+are counted exactly. Those of more than HEAVY sets are made frequent, and the sets that have one in their prefix get new
+signatures, with prefixes extended accordingly; they learn which of their shingles are heavy by a join. That is repeated, at
+most ROUNDS times, while it finds heavy signatures. Any division into classes gives right results, if it is the same for all sets.
+
+A set is named by 128 bits of a hash, a shingle by 64; sets are compared by all of these.
+
 A pair is only compared if the places of the signature in both sets leave room for enough shared shingles.
 
 Verification. Within a signature every node is compared with the most central one; the links found join
@@ -22,8 +29,9 @@ a large group of copies are listed, yet no component is missed.
 
 Defined results: null text, or text without words, has an empty set and is its own component; documents of
 fewer than five words have their whole sequence as one shingle; equal texts are linked; rows with one doc_id are
-one member of each of their texts' components; null ids don't count as the smallest one; an empty table gives
-an empty result; other input columns are ignored.
+one member of each of their texts' components; null ids don't count as the smallest one; a very long text is one
+set like any other, its signatures grow with a fifth of its length; an empty table gives an empty result; other input
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -36,7 +44,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import discard, marks, read_table, written
+from .common import arrow_map, discard, marked, read_table, written
 from .components import components
 
 SHINGLE_WORDS = 5
@@ -47,8 +55,11 @@ SKETCH_BITS = 18
 SIZE_STEP = 1.26
 #: Groups of frequent shingles as a share of the smallest set of a size class.
 GROUP_SHARE = 0.1
-#: Documents whose signatures are sent to Spark at once.
-SLICE = 200
+#: Sets that may share a rare signature before it is made frequent, and how often signatures are made anew for that.
+HEAVY = 1000
+ROUNDS = 3
+#: Names of sets that a task remembers, so as not to give a copy's signatures again.
+SEEN = 1_000_000
 
 _U = np.uint64
 _SHIFT = _U(64 - SKETCH_BITS)
@@ -90,8 +101,8 @@ def size_class(n: int) -> int:
     return int(np.searchsorted(_BOUNDS, n, side="right"))
 
 
-def signatures(s: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
-    """The signatures of a set (sorted hashes), given the sketch's slots of the frequent class, and their places.
+def signatures(s: np.ndarray, frequent: np.ndarray, heavy: np.ndarray = _EMPTY) -> tuple[np.ndarray, np.ndarray, int]:
+    """The signatures of a set (sorted hashes), given the sketch's slots of the frequent class and its heavy shingles (sorted), and their places.
 
     The place of a rare shingle is the number of shingles before it, that of a combination the number of the set's rare
     shingles: if no signature with an earlier place is shared, the linked set misses that many. Last, the
@@ -102,6 +113,8 @@ def signatures(s: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, np.ndar
         return _EMPTY, _EMPTY, 0  # too small to be linked with a different set
     need = slack(n) + 1
     often = frequent[s >> _SHIFT]
+    if len(heavy):
+        often = often | np.isin(s, heavy, assume_unique=True)
     rare = s[~often][:need]
     places = np.arange(len(rare), dtype=np.uint64)
     if len(rare) == need:
@@ -125,13 +138,27 @@ def signatures(s: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, np.ndar
     return np.concatenate([rare, pairs]), np.concatenate([places, np.full(len(pairs), len(rare), np.uint64)]), len(rare)
 
 
-def set_id(s: np.ndarray) -> int:
-    """A 64-bit name of a set, as a signed number."""
-    x = xxhash.xxh3_64_intdigest(s.tobytes())
-    return x - (1 << 64) if x >> 63 else x
+def set_id(s: np.ndarray) -> bytes:
+    """The name of a set."""
+    return xxhash.xxh3_128_digest(s.tobytes())
+
+
+class _Seen:
+    """Names that a task has met; forgets them when they become too many."""
+
+    def __init__(self):
+        self.names: set[bytes] = set()
 
+    def new(self, name: bytes) -> bool:
+        if name in self.names:
+            return False
+        if len(self.names) >= SEEN:
+            self.names.clear()
+        self.names.add(name)
+        return True
 
-_NODES = "text_hash long, n long, node long, chunk int, counts array<int>"
+
+_NODES = "text_hash long, n long, node binary, chunk int, counts array<int>"
 _CHUNK = 4096
 
 
@@ -144,31 +171,27 @@ def nodes_and_sketch(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = np.zeros(1 << SKETCH_BITS, np.int64)
-        seen: set[int] = set()
+        seen = _Seen()
         names = ["doc_id", "text_hash", "n", "node", "chunk", "counts"]
         kind = None
         for batch in batches:
             kind = batch.column("doc_id").type
-            for lo in range(0, batch.num_rows, SLICE):
-                part = batch.slice(lo, SLICE)
-                ns, ids, new = [], [], []
-                for text in part.column("text").to_pylist():
-                    s = shingles(text)
-                    ns.append(len(s))
-                    ids.append(set_id(s) if len(s) else None)
-                    if len(s) and ids[-1] not in seen:
-                        seen.add(ids[-1])
-                        new.append(s >> _SHIFT)
-                if new:
-                    sketch += np.bincount(np.concatenate(new).astype(np.int64), minlength=len(sketch))
-                k = part.num_rows
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_hash"), pa.array(ns, pa.int64()), pa.array(ids, pa.int64()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.list_(pa.int32()))], names=names)
+            ns, ids = [], []
+            for text in batch.column("text"):
+                s = shingles(text.as_py())
+                ns.append(len(s))
+                ids.append(set_id(s) if len(s) else None)
+                if len(s) and seen.new(ids[-1]):
+                    slots, times = np.unique(s >> _SHIFT, return_counts=True)
+                    sketch[slots.astype(np.int64)] += times
+            k = batch.num_rows
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(ns, pa.int64()), pa.array(ids, pa.binary()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.list_(pa.int32()))], names=names)
         if kind is not None:
             parts = np.minimum(sketch, 2**31 - 1).astype(np.int32).reshape(-1, _CHUNK)
             k = len(parts)
-            yield pa.RecordBatch.from_arrays([pa.nulls(k, kind), *[pa.nulls(k, pa.int64())] * 3, pa.array(range(k), pa.int32()), pa.array(list(parts), pa.list_(pa.int32()))], names=names)
+            yield pa.RecordBatch.from_arrays([pa.nulls(k, kind), *[pa.nulls(k, pa.int64())] * 2, pa.nulls(k, pa.binary()), pa.array(range(k), pa.int32()), pa.array(list(parts), pa.list_(pa.int32()))], names=names)
 
-    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(run, f"doc_id {schema}, {_NODES}")
+    return arrow_map(docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")), run, f"doc_id {schema}, {_NODES}")
 
 
 def frequent_slots(sketch: DataFrame) -> np.ndarray:
@@ -183,6 +206,20 @@ def frequent_slots(sketch: DataFrame) -> np.ndarray:
     return flags
 
 
+_SIGNATURES = "sig long, node binary, n int, p int, k int"
+
+
+def _signature_rows(found: list[tuple[bytes, int, tuple[np.ndarray, np.ndarray, int]]]) -> pa.RecordBatch:
+    """Rows of _SIGNATURES for (name, size, signatures) of sets."""
+    times = [len(x[2][0]) for x in found]
+    at = np.repeat(np.arange(len(found)), times)
+    sizes, rare = np.array([x[1] for x in found], np.int32), np.array([x[2][2] for x in found], np.int32)
+    names = pa.array([x[0] for x in found], pa.binary()).take(pa.array(at))
+    sigs = np.concatenate([_EMPTY, *(x[2][0] for x in found)]).view(np.int64)
+    places = np.concatenate([_EMPTY, *(x[2][1] for x in found)]).astype(np.int32)
+    return pa.RecordBatch.from_arrays([pa.array(sigs), names, pa.array(sizes[at]), pa.array(places), pa.array(rare[at])], names=["sig", "node", "n", "p", "k"])
+
+
 def all_signatures(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
     """(sig, node, n, p, k) of every set; a task gives a set's signatures once.
 
@@ -192,57 +229,83 @@ def all_signatures(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flags = np.unpackbits(np.frombuffer(packed, np.uint8)).astype(bool)
-        seen: set[int] = set()
+        seen = _Seen()
         for batch in batches:
-            for lo in range(0, batch.num_rows, SLICE):
-                sigs, places, ids, ns, ks = [_EMPTY], [_EMPTY], [], [], []
-                for text in batch.column("text").slice(lo, SLICE).to_pylist():
-                    s = shingles(text)
-                    if len(s) and (name := set_id(s)) not in seen:
-                        seen.add(name)
-                        own, at, rare = signatures(s, flags)
-                        sigs.append(own)
-                        places.append(at)
-                        ks.append(rare)
-                        ids.append(name)
-                        ns.append(len(s))
-                times = [len(x) for x in sigs[1:]]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(sigs).view(np.int64)), *(pa.array(np.repeat(np.array(x, t), times)) for x, t in ((ids, np.int64), (ns, np.int32))), pa.array(np.concatenate(places).astype(np.int32)), pa.array(np.repeat(np.array(ks, np.int32), times))],
-                    names=["sig", "node", "n", "p", "k"],
-                )
-
-    return docs.select("text").mapInArrow(run, "sig long, node long, n int, p int, k int")
+            found = []
+            for text in batch.column("text"):
+                s = shingles(text.as_py())
+                if len(s) and seen.new(name := set_id(s)):
+                    found.append((name, len(s), signatures(s, flags)))
+            yield _signature_rows(found)
 
+    return arrow_map(docs.select("text"), run, _SIGNATURES)
 
-def sets_of(docs: DataFrame, reps: DataFrame) -> DataFrame:
-    """(node, shingles) of the documents named in reps (doc_id); others may be among them.
 
-    A shingle is given by 48 bits of its hash, enough to compare two sets; the rows are chosen before any work by a bitmap.
-    """
-    bitmap, slot = marks(reps, F.xxhash64("doc_id"))
+def sets_of(docs: DataFrame, reps: DataFrame) -> DataFrame:
+    """(node, shingles) of the documents named in reps (doc_id); others may be among them, and a set may come twice."""
+    rows, choose = marked(docs.select("doc_id", "text"), reps.select("doc_id"), ["doc_id"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
+        seen = _Seen()
         for batch in batches:
-            slots = batch.column("slot").to_numpy(zero_copy_only=False)
-            keep = np.flatnonzero((bitmap[slots >> 3] >> (slots & 7)) & 1)
-            for lo in range(0, len(keep), SLICE):
-                ids, blobs = [], []
-                for text in batch.column("text").take(pa.array(keep[lo : lo + SLICE])).to_pylist():
-                    s = shingles(text)
-                    if len(s) and (name := set_id(s)) not in seen:
-                        seen.add(name)
-                        ids.append(name)
-                        blobs.append((s >> _U(32)).astype("<u4").tobytes() + (s >> _U(16)).astype("<u2").tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(blobs, pa.binary())], names=["node", "shingles"])
+            ids, blobs = [], []
+            for text in batch.column("text").take(pa.array(choose(batch))):
+                s = shingles(text.as_py())
+                if len(s) and seen.new(name := set_id(s)):
+                    ids.append(name)
+                    blobs.append(s.tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.binary()), pa.array(blobs, pa.binary())], names=["node", "shingles"])
 
-    return docs.select("text", slot.alias("slot")).mapInArrow(run, "node long, shingles binary")
+    return arrow_map(rows.select("text", "slot"), run, "node binary, shingles binary")
 
 
 def _unpack(blob: bytes) -> np.ndarray:
-    n = len(blob) // 6
-    return (np.frombuffer(blob, "<u4", n).astype(np.uint64) << _U(16)) | np.frombuffer(blob, "<u2", n, 4 * n).astype(np.uint64)
+    return np.frombuffer(blob, np.uint64)
+
+
+def shared_of(sigs: DataFrame) -> DataFrame:
+    """(sig, c, rare) of the signatures that come more than once. Copies of a set count as often as tasks met them: for cost, not for results."""
+    counts = sigs.groupBy("sig").agg(F.count(F.lit(1)).alias("c"), F.max(F.col("p") < F.col("k")).alias("rare"))
+    return written(counts.filter("c > 1"), "shared")
+
+
+def without_heavy(sigs: DataFrame, docs: DataFrame, reps: DataFrame, frequent: np.ndarray) -> tuple[DataFrame, DataFrame]:
+    """sigs, with the signatures made anew for the sets that have a rare signature of more than HEAVY sets, and the shared ones."""
+    packed = np.packbits(frequent).tobytes()
+    shared, heavy = shared_of(sigs), None
+    for _ in range(ROUNDS):
+        more = written(shared.filter(F.col("rare") & (F.col("c") > HEAVY)).select("sig"), "heavy")
+        if more.isEmpty():
+            discard(more)
+            break
+        heavy = more if heavy is None else written(heavy.union(more).distinct(), "heavy")
+        nodes = written(sigs.filter(F.col("p") < F.col("k")).join(more, "sig", "left_semi").select("node").distinct(), "wanted")
+        # A set may come twice, and sets that nobody asked for may come along.
+        sets = written(sets_of(docs, reps.join(nodes, "node")).join(nodes, "node", "left_semi").dropDuplicates(["node"]), "sets")
+
+        def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for name, blob in zip(batch.column("node"), batch.column("shingles")):
+                    s = _unpack(blob.as_py()).view(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(s), pa.array([name.as_py()] * len(s), pa.binary())], names=["sig", "node"])
+
+        def anew(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            flags = np.unpackbits(np.frombuffer(packed, np.uint8)).astype(bool)
+            for batch in batches:
+                found = []
+                for name, blob, own in zip(batch.column("node"), batch.column("shingles"), batch.column("own")):
+                    s, h = _unpack(blob.as_py()), np.sort(np.array(own.as_py() or [], np.int64).view(np.uint64))
+                    found.append((name.as_py(), len(s), signatures(s, flags, h)))
+                yield _signature_rows(found)
+
+        # At most a set's own shingles are collected.
+        own = arrow_map(sets, split, "sig long, node binary").join(heavy, "sig", "left_semi").groupBy("node").agg(F.collect_list("sig").alias("own"))
+        new = arrow_map(sets.join(own, "node", "left").select("node", "shingles", "own"), anew, _SIGNATURES)
+        rest = sigs.join(nodes, "node", "left_anti").select("sig", "node", "n", "p", "k")
+        fresh = written(rest.union(new), "signatures")
+        discard(sigs, shared, sets, nodes)
+        sigs, shared = fresh, shared_of(fresh)
+    return sigs, shared
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -264,7 +327,7 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                     keep.append(i)
             yield pa.RecordBatch.from_arrays([batch.column(c).take(pa.array(keep, pa.int64())) for c in ("a", "b")], names=["a", "b"])
 
-    return both.mapInArrow(run, "a long, b long")
+    return arrow_map(both, run, "a binary, b binary")
 
 
 def _close(n: str, p: str, m: str, q: str):
@@ -278,14 +341,13 @@ def _need(n: str):
     return F.col(n) - F.floor((MIN_SIMILARITY * F.col(n) + 99) / 100) + 1
 
 
-def links(docs: DataFrame, nodes: DataFrame, frequent: np.ndarray) -> DataFrame | None:
-    """(node, root) of all nodes that are linked with another one; None if there are none."""
-    sigs = written(all_signatures(docs, frequent), "signatures")
-    shared = sigs.groupBy("sig").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("sig")
-    # A set that several tasks met comes with each of them: its copies alone don't make a signature shared.
-    index = written(sigs.join(shared, "sig").distinct(), "index")
-    discard(sigs)
+def links(docs: DataFrame, nodes: DataFrame, frequent: np.ndarray) -> DataFrame:
+    """(node, root) of all nodes that are linked with another one."""
     reps = nodes.filter(F.col("node").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+    sigs, shared = without_heavy(written(all_signatures(docs, frequent), "signatures"), docs, reps, frequent)
+    # A set that several tasks met comes with each of them: its copies alone don't make a signature shared.
+    index = written(sigs.join(shared.select("sig"), "sig").distinct(), "index")
+    discard(sigs, shared)
 
     central = index.groupBy("node").agg((-F.count(F.lit(1)) / F.first("n")).alias("rank"))
     ranked = index.join(central, "node")
@@ -295,15 +357,16 @@ def links(docs: DataFrame, nodes: DataFrame, frequent: np.ndarray) -> DataFrame
     tried = written(stars.select("a", "b").distinct(), "pairs")
 
     def check(pairs: DataFrame) -> DataFrame:
-        wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+        named = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+        wanted = written(reps.join(named, "node"), "wanted")
         # A set may come twice, where the bitmap marks a copy by chance: its links then come twice too.
-        sets = written(sets_of(docs, written(reps.join(wanted, "node"), "wanted")), "sets")
+        sets = written(sets_of(docs, wanted), "sets")
         found = written(verified(pairs, sets), "links")
-        discard(sets)
+        discard(sets, wanted)
         return found
 
     found = check(tried)
-    roots = written(components(found), "roots")
+    roots = components(found)
 
     # Pairs of a signature that are still in different components.
     labelled = index.join(roots.withColumnRenamed("root", "c"), "node", "left").withColumn("c", F.coalesce("c", "node"))
@@ -312,7 +375,8 @@ def links(docs: DataFrame, nodes: DataFrame, frequent: np.ndarray) -> DataFrame
     smallest = labelled.groupBy("sig").agg(F.min("n").alias("least"))
     room = 100 * (F.col("n") - F.col("p")) >= MIN_SIMILARITY * (F.col("least") + F.col("p"))
     alive = written(labelled.join(smallest, "sig").filter((F.col("p") < F.col("k")) | room).drop("least"), "alive")
-    split = alive.groupBy("sig").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("sig")
+    label = F.xxhash64("c")
+    split = alive.groupBy("sig").agg(F.min(label).alias("lo"), F.max(label).alias("hi")).filter("lo <> hi").select("sig")
     rest = alive.join(split, "sig")
     x = rest.select("sig", F.col("node").alias("a"), "n", "p", "k", "c")
     y = rest.select("sig", F.col("node").alias("b"), F.col("n").alias("m"), F.col("p").alias("q"), F.col("k").alias("l"), F.col("c").alias("d"))
@@ -327,13 +391,18 @@ def links(docs: DataFrame, nodes: DataFrame, frequent: np.ndarray) -> DataFrame
     pairs = pairs.filter(100 * most >= MIN_SIMILARITY * (F.col("n") + F.col("m") - most)).select("a", "b")
     done = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     pairs = written(pairs.join(done, ["a", "b"], "left_anti"), "pairs")
+    discard(index, labelled, alive)
     if pairs.isEmpty():
+        discard(tried, pairs, found)
         return roots
-    return components(found.union(check(pairs)))
+    more = check(pairs)
+    out = components(found.union(more))
+    discard(tried, pairs, found, more, roots)
+    return out
 
 
 def classes(docs: DataFrame) -> DataFrame:
-    """doc_id, text_hash, n, class (a number for linked sets, null for an empty one), component_id of every document."""
+    """doc_id, text_hash, n, class (the same for linked sets, null for an empty one), component_id of every document."""
     base = docs.select("doc_id", "text")
     first = written(nodes_and_sketch(base), "nodes")
     nodes = first.filter(F.col("chunk").isNull()).select("doc_id", "text_hash", "n", "node")
@@ -345,6 +414,7 @@ def classes(docs: DataFrame) -> DataFrame:
     named = named.select("node", F.coalesce("root", "node").alias("class"), F.coalesce("c", "least").alias("c"))
     # Tables of their own: only a join of two plain inputs is split where many rows share a root or a node.
     named = written(named, "named")
+    discard(by_root, roots)
     return nodes.join(named, "node", "left").select("doc_id", "text_hash", "n", "class", F.coalesce("c", "doc_id").alias("component_id"))
 
 

@@ -5,15 +5,18 @@ rule_version, findings) for all blobs that were ever scanned. A run addresses al
 rule version that the ledger lacks, scans one carrier document of each, appends the result to the
 ledger, and joins the findings back to every document (path) that has the blob.
 
-The texts are not shuffled: carriers are marked in a bitmap of fixed size, and a task scans the rows that
-the bitmap marks. A false mark means a second scan of a blob, whose findings are the same; they enter the
-ledger once.
+The keys are made once and written. The carriers are chosen by a bitmap in the workers, so that texts aren't shuffled, or, if
+more blobs are unseen than a bitmap is made for, by a join. A row that the bitmap takes by chance means a second scan of a
+blob, whose findings are the same; they enter the ledger once.
+
+A run appends by one commit, into a folder of its own below the ledger (run=<id>); if two runs at once scan the same new
+blob, the ledger has it twice, with equal findings, and readers take one of them.
 
 Rules: assign, access and hex as below, and three formats with unmistakable prefixes (pem, github, jwt).
 Spans of a kind are leftmost and don't overlap; matches that fail the kind's length are dropped.
 
 Defined results: null text is an empty blob without findings; equal texts share a blob and so their
-findings; repeated rows are returned as often; an empty table gives an empty result; other input columns are ignored,
+findings; repeated rows are returned as often; very long texts are scanned whole, in time linear in their length; an empty table gives an empty result; other input columns are ignored,
 but for those that `scan` is asked to keep.
 """
 
@@ -21,18 +24,20 @@ from __future__ import annotations
 
 import hashlib
 import re
+import uuid
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, marks, read_table, shared_dir
+from .common import arrow_map, broadcast_if_small, discard, marked, read_table, scratch, written
 
 KINDS = ["assign", "access", "hex", "pem", "github", "jwt"]
 BASE_KINDS = KINDS[:3]
 RULE_VERSION = 1
+#: Blobs that a task remembers, so as not to scan a copy again.
+SEEN = 1_000_000
 
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -67,17 +72,18 @@ def digest(spans: list[tuple[str, int, int]]) -> str:
 LEDGER = "blob string, rule_version int, n_assign long, n_access long, n_hex long, base_sha256 string, spans string"
 
 
-def _scanned(rows: DataFrame, bitmap: np.ndarray, rule_version: int) -> DataFrame:
-    """Ledger rows for (blob, slot, text) rows that the bitmap marks; a task scans a blob once."""
+def _scanned(rows: DataFrame, choose, rule_version: int) -> DataFrame:
+    """Ledger rows for the (blob, slot, text) rows that are chosen; a task scans a blob once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[str] = set()
         for batch in batches:
-            slots = batch.column("slot").to_numpy(zero_copy_only=False)
-            keep = np.flatnonzero((bitmap[slots >> 3] >> (slots & 7)) & 1)
+            keep = pa.array(choose(batch))
             out: list[tuple] = []
-            for blob, text in zip(batch.column("blob").take(pa.array(keep)).to_pylist(), batch.column("text").take(pa.array(keep)).to_pylist()):
+            for blob, text in zip(batch.column("blob").take(keep).to_pylist(), batch.column("text").take(keep).to_pylist()):
                 if blob not in seen:
+                    if len(seen) >= SEEN:
+                        seen.clear()
                     seen.add(blob)
                     spans = secrets(text)
                     base = [x for x in spans if x[0] in BASE_KINDS]
@@ -87,39 +93,48 @@ def _scanned(rows: DataFrame, bitmap: np.ndarray, rule_version: int) -> DataFram
             types = [pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=[x.split()[0] for x in LEDGER.split(", ")])
 
-    return rows.mapInArrow(run, LEDGER)
+    return arrow_map(rows, run, LEDGER)
+
+
+def known(spark: SparkSession, ledger_path: str, rule_version: int = RULE_VERSION) -> DataFrame:
+    """The ledger's rows of a rule version, one for each blob; none if there is no ledger yet."""
+    jvm, conf = spark.sparkContext._jvm, spark._jsparkSession.sessionState().newHadoopConf()
+    path = jvm.org.apache.hadoop.fs.Path(ledger_path)
+    if not path.getFileSystem(conf).exists(path):
+        return spark.createDataFrame([], LEDGER)
+    rows = spark.read.schema(LEDGER).option("recursiveFileLookup", "true").parquet(ledger_path)
+    return rows.filter(F.col("rule_version") == rule_version).dropDuplicates(["blob"])
+
+
+def _blob():
+    return F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256)
 
 
 def scan(docs: DataFrame, ledger_path: str, rule_version: int = RULE_VERSION, keep: tuple[str, ...] = ()) -> DataFrame:
     """Findings of every document; the ledger at ledger_path (a folder for Parquet files) is read and extended."""
     spark = docs.sparkSession
-    text = F.coalesce(F.col("text"), F.lit(""))
-    blob = F.sha2(text.cast("binary"), 256)
-    paths = docs.select("doc_id", *keep, blob.alias("blob"))
-    spark.createDataFrame([], LEDGER).write.mode("append").parquet(ledger_path)  # so that a new ledger can be read
-    known = spark.read.schema(LEDGER).parquet(ledger_path).filter(F.col("rule_version") == rule_version)
-    carriers = paths.groupBy("blob").agg(F.min("doc_id").alias("doc_id")).join(known.select("blob"), "blob", "left_anti")
-    bitmap, slot = marks(carriers, F.xxhash64("doc_id", "blob"))
-    rows = docs.select("doc_id", blob.alias("blob"), text.alias("text")).withColumn("slot", slot)
-    new = _scanned(rows.select("blob", "slot", "text"), bitmap, rule_version)
-    # A blob that the bitmap marked by chance may be in the ledger, or in two tasks' rows.
-    new = new.join(known.select("blob"), "blob", "left_anti").dropDuplicates(["blob"])
-    new.write.mode("append").parquet(ledger_path)
-    ledger = spark.read.schema(LEDGER).parquet(ledger_path).filter(F.col("rule_version") == rule_version)
-    return paths.join(ledger, "blob").select("doc_id", *keep, "blob", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
-
-
-#: Documents with findings up to which their spans are broadcast to the texts (at some 100 bytes each).
-BROADCAST_ROWS = 500_000
+    paths = written(docs.select("doc_id", *keep, _blob().alias("blob")), "paths")
+    # A null id would match no key of a join: those blobs are told by the hash of the id, as in the bitmap.
+    path = F.xxhash64("doc_id").alias("path")
+    carriers = paths.select(path, "blob").groupBy("blob").agg(F.min("path").alias("path"))
+    carriers = written(carriers.join(known(spark, ledger_path, rule_version).select("blob"), "blob", "left_anti"), "carriers")
+    if not carriers.isEmpty():
+        rows = docs.select(path, _blob().alias("blob"), F.coalesce("text", F.lit("")).alias("text"))
+        rows, choose = marked(rows, carriers, ["path", "blob"])
+        new = _scanned(rows.select("blob", "slot", "text"), choose, rule_version)
+        # A row taken by chance may hold a blob that the ledger has, or that another task scanned.
+        new = new.join(carriers.select("blob"), "blob", "left_semi").dropDuplicates(["blob"])
+        new.write.parquet(f"{ledger_path}/run={uuid.uuid4().hex}")
+    discard(carriers)
+    return paths.join(known(spark, ledger_path, rule_version), "blob").select("doc_id", *keep, "blob", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
 
 
 def redact(docs: DataFrame, ledger_path: str, mark: str) -> DataFrame:
     """docs with the union of the findings' spans replaced by `mark`, and n_chars, if there is one, brought up to date."""
     found = scan(docs, ledger_path).filter(F.col("spans") != "").select(F.col("blob").alias("_blob"), "spans").dropDuplicates(["_blob"])
     spot = F.transform(F.split("spans", ","), lambda x: F.struct(F.split_part(x, F.lit(":"), F.lit(2)).cast("int").alias("s"), F.split_part(x, F.lit(":"), F.lit(3)).cast("int").alias("e")))
-    found = broadcast_if_small(found.select("_blob", F.array_sort(spot).alias("_spans")), BROADCAST_ROWS)
-    blob = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
-    joined = docs.withColumn("_key", blob).join(found, F.col("_key") == F.col("_blob"), "left")
+    found = broadcast_if_small(written(found.select("_blob", F.array_sort(spot).alias("_spans")), "spans"))
+    joined = docs.withColumn("_key", _blob()).join(found, F.col("_key") == F.col("_blob"), "left")
     start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
 
     def cut(acc, x):
@@ -137,8 +152,11 @@ def redact(docs: DataFrame, ledger_path: str, mark: str) -> DataFrame:
     return out.select(*[changed.get(c, F.col(c)).alias(c) for c in docs.columns])
 
 
-def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import uuid
+#: Session setting that names a ledger to keep from run to run; without it the query has a ledger of its own.
+LEDGER_SETTING = "spark.viewloom.secretLedger"
 
-    found = scan(read_table(spark, sf_dir, "documents"), f"{shared_dir(spark)}/ledger-{uuid.uuid4().hex}")
+
+def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ledger = spark.conf.get(LEDGER_SETTING, None) or f"{scratch(spark)}/ledger-{uuid.uuid4().hex}"
+    found = scan(read_table(spark, sf_dir, "documents"), ledger)
     return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")

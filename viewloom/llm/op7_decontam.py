@@ -5,8 +5,9 @@ are scanned once; a token window is looked up wherever the longest word of some
 place in it, which is true of every occurrence of that window, so nothing is lost and most positions cost
 one probe of a small table. A looked-up window is verified by its text.
 
-The benchmark's tables are broadcast only while they are small (they are counted first); a larger benchmark
-is joined by a shuffle. The documents' texts are never shuffled.
+The benchmark's tables are written and measured, and broadcast only while they are small. For a larger benchmark the
+windows of the documents, of each length that an item's windows have, are joined with it by a shuffle of (document,
+place, window); neither way shuffles a document's text or its list of words. Both take time linear in a text's length.
 
 Defined results: null or wordless text has no words and no hits; null or wordless items have no window;
 repeated documents are judged each, repeated items count once for each item_id; an empty table gives an
@@ -18,11 +19,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, lower_ascii, read_table
+from .common import BROADCAST_BYTES, is_small, lower_ascii, read_table, written
 
 WINDOW = 10
-#: Rows of windows up to which the benchmark is broadcast (at some 200 bytes each, about 200 MB).
-BROADCAST_ROWS = 1_000_000
+#: Bytes up to which a table of the benchmark is broadcast.
+MAX_BYTES = BROADCAST_BYTES
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -46,14 +47,21 @@ def windows_of(items: DataFrame, window: int = WINDOW) -> DataFrame:
 def hits(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
     """Verified windows: doc_id, text_hash, start, len, item_ids."""
     grams = windows_of(items, window)
-    probes = broadcast_if_small(grams.select("anchor", "off", "len").distinct(), BROADCAST_ROWS)
-    known = grams.groupBy("gram").agg(F.collect_set("item_id").alias("item_ids"))
-    known = broadcast_if_small(known.withColumn("gram_hash", F.xxhash64("gram")), BROADCAST_ROWS)
+    probes = written(grams.select("anchor", "off", "len").distinct(), "probes")
+    known = written(grams.groupBy("gram").agg(F.collect_set("item_id").alias("item_ids")).withColumn("gram_hash", F.xxhash64("gram")), "grams")
     seen = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), words_of(F.col("text")).alias("w"))
-    seen = seen.select("doc_id", "text_hash", "w", F.posexplode("w").alias("pos", "word"))
-    found = seen.join(probes, seen["word"] == probes["anchor"]).withColumn("start", F.col("pos") - F.col("off"))
-    found = found.filter((F.col("start") >= 0) & (F.col("start") + F.col("len") <= F.size("w")))
-    found = found.select("doc_id", "text_hash", "start", "len", F.array_join(F.slice("w", F.greatest(F.col("start"), F.lit(0)) + 1, F.col("len")), " ").alias("seen"))
+    if is_small(probes, MAX_BYTES) and is_small(known, MAX_BYTES):
+        known = F.broadcast(known)
+        seen = seen.select("doc_id", "text_hash", "w", F.posexplode("w").alias("pos", "word"))
+        found = seen.join(F.broadcast(probes), seen["word"] == probes["anchor"]).withColumn("start", F.col("pos") - F.col("off"))
+        found = found.filter((F.col("start") >= 0) & (F.col("start") + F.col("len") <= F.size("w")))
+        found = found.select("doc_id", "text_hash", "start", "len", F.array_join(F.slice("w", F.greatest(F.col("start"), F.lit(0)) + 1, F.col("len")), " ").alias("seen"))
+    else:
+        lengths = sorted(r["len"] for r in probes.select("len").distinct().collect())  # at most `window` numbers
+        each = F.explode(F.array(*map(F.lit, lengths)) if lengths else F.array().cast("array<int>")).alias("len")
+        placed = seen.select("*", each).filter(F.size("w") >= F.col("len"))
+        placed = placed.select("doc_id", "text_hash", "w", "len", F.explode(F.sequence(F.lit(0), F.size("w") - F.col("len"))).alias("start"))
+        found = placed.select("doc_id", "text_hash", "start", "len", F.array_join(F.slice("w", F.col("start") + 1, F.col("len")), " ").alias("seen"))
     same = (F.xxhash64(found["seen"]) == known["gram_hash"]) & (found["seen"] == known["gram"])
     return found.join(known, same).select("doc_id", "text_hash", "start", "len", "item_ids")
 
@@ -96,13 +104,13 @@ def judge(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
 
 def decontaminate(docs: DataFrame, items: DataFrame, remove: str = "documents", window: int = WINDOW) -> DataFrame:
     """docs without contaminated documents (remove="documents") or without the hit words (remove="spans")."""
-    bad = (
-        hits(docs, items, window).groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("start", "len")).alias("_spans"))
-        .select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "_spans")
-    )
+    found = hits(docs, items, window).select("doc_id", "text_hash", F.struct("start", "len").alias("span"))
+    found = found.groupBy("doc_id", "text_hash").agg(F.collect_set("span").alias("_spans"))
+    bad = written(found.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "_spans"), "contaminated")
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash"))
     if remove == "documents":
-        return docs.join(broadcast_if_small(bad.drop("_spans"), BROADCAST_ROWS), same, "left_anti")
+        gone = bad.drop("_spans")
+        return docs.join(F.broadcast(gone) if is_small(gone, MAX_BYTES) else gone, same, "left_anti")
     if remove != "spans":
         raise ValueError(f"remove must be 'documents' or 'spans', not {remove!r}")
     # Each word with what follows it; the first part is what stands before the first word.

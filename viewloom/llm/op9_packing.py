@@ -8,12 +8,12 @@ removed as often as the histogram still holds it, which is what repeating the pr
 bins would give. Each combination uses up a length, so the number of combinations is bounded by the
 number of lengths too.
 
-Pieces of one length are interchangeable: the pieces get gapless ranks within their length (numbered in
-hash buckets, no task needs a whole length), and the r-th piece takes the r-th place that the plan has for
-that length.
+A piece that fills a sequence needs no plan: it is a sequence of its own. Other pieces of one length are
+interchangeable: they get gapless ranks within their length (numbered in buckets of some BUCKET_ROWS pieces, whatever the
+number of pieces or equal documents), and the r-th piece takes the r-th place that the plan has for that length.
 
 Defined results: null text is an empty text, which is one piece with the end id alone; equal texts are packed
-separately; an empty table gives an empty result; other input columns are ignored.
+separately; very long texts are encoded whole and cut; an empty table gives an empty result; other input columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,14 +28,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import read_table, written
+from .common import arrow_map, read_table, written
 
 CAPACITY = 2048
 END_ID = 0
 #: The split pattern of the byte-level file (public_tokenizers.PATTERN).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 LONG_RUN = 100_000
-RANK_BUCKETS = 64
+#: Pieces of a length that are numbered at once.
+BUCKET_ROWS = 100_000
 
 
 class Ids:
@@ -103,7 +104,7 @@ def pieces_of(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) ->
                     names=["doc_id", "piece", "start", "length", "ids_crc32"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, PIECES.format(key=key))
+    return arrow_map(docs.select("doc_id", "text"), run, PIECES.format(key=key))
 
 
 def fullest(capacity: int, counts: dict[int, int]) -> dict[int, int]:
@@ -164,44 +165,50 @@ def places(bins: list[tuple[int, dict[int, int]]]) -> list[tuple[int, int, int,
     return out
 
 
-def ranked(pieces: DataFrame) -> DataFrame:
-    """Adds `rank`: gapless from 0 among the pieces of a length."""
-    key = ["doc_id", "piece", "ids_crc32", "start"]
-    rows = pieces.withColumn("_bucket", F.pmod(F.xxhash64(*key), F.lit(RANK_BUCKETS)).cast("int"))
+def ranked(pieces: DataFrame, histogram: dict[int, int]) -> DataFrame:
+    """Adds `rank`: gapless from 0 among the pieces of a length. Buckets are dealt by the pieces' own numbers `_row`."""
+    spark = pieces.sparkSession
+    table = [(x, -(-n // BUCKET_ROWS)) for x, n in histogram.items()] or [(0, 1)]
+    buckets = spark.createDataFrame(table, "length long, _buckets long")  # at most `capacity` rows
+    rows = pieces.join(F.broadcast(buckets), "length").withColumn("_bucket", F.pmod(F.xxhash64("_row"), F.col("_buckets")))
     before = Window.partitionBy("length").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     base = (
         rows.groupBy("length", "_bucket").agg(F.count(F.lit(1)).alias("_n"))
         .select("length", "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
     )
-    within = Window.partitionBy("length", "_bucket").orderBy(*key)
+    within = Window.partitionBy("length", "_bucket").orderBy("_row")
     return (
         rows.withColumn("_rn", F.row_number().over(within))
         .join(base, ["length", "_bucket"])
         .withColumn("rank", F.col("_base") + F.col("_rn") - 1)
-        .drop("_bucket", "_rn", "_base")
+        .drop("_bucket", "_buckets", "_rn", "_base")
     )
 
 
 def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> DataFrame:
     """Packs every document: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
     spark = docs.sparkSession
-    pieces = written(pieces_of(docs, tokenizer_path, capacity), "pieces")
+    pieces = written(pieces_of(docs, tokenizer_path, capacity).withColumn("_row", F.monotonically_increasing_id()), "pieces")
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
+    histogram.pop(capacity, None)
     table = places(plan(histogram, capacity))
     at = spark.createDataFrame(table or [(0, 0, 0, 1, 0, 0)], "length long, _first long, _ranks long, _times long, _sequence long, _offset long")
     within = F.col("rank") - F.col("_first")
     spot = F.pmod(within, F.col("_times"))
+    columns = ["doc_id", "piece", "start", "length", "ids_crc32"]
+    full = pieces.filter(F.col("length") == capacity).select(*columns, (-1 - F.col("_row")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     # The table of places is bounded by the capacity: at most `capacity` combinations of distinct lengths.
-    return (
-        ranked(pieces)
+    mixed = (
+        ranked(pieces.filter(F.col("length") < capacity), histogram)
         .join(F.broadcast(at), "length")
         .filter((within >= 0) & (within < F.col("_ranks")))
         .select(
-            "doc_id", "piece", "start", "length", "ids_crc32",
+            *columns,
             (F.col("_sequence") + F.floor(within / F.col("_times"))).cast("long").alias("sequence_id"),
             (F.col("_offset") + spot * F.col("length")).cast("long").alias("offset"),
         )
     )
+    return full.union(mixed)
 
 
 def tokenizer_file() -> str:
