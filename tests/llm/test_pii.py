@@ -44,6 +44,33 @@ def test_look_alikes_stay(text):
     assert P.find(text, P.trained())[1] == []
 
 
+# Written by hand, not by the trainer: a text and the span in it.
+HAND = [
+    ("2001:db8::1 is up", "2001:db8::1"), ("host fe80::1 answered", "fe80::1"), ("ping ::1 now", "::1"), ("write to bob at example dot com today", "bob at example dot com"), ("tel 0049 30 1234567", "0049 30 1234567"),
+    ("call 030 12345678 now", "030 12345678"), ("phone: 415-555-2671", "415-555-2671"), ("reach me at jane [at] mail [dot] org", "jane [at] mail [dot] org"), ("Telefon 0171 2345678", "0171 2345678"),
+    ("fax 01 42 68 53 00", "01 42 68 53 00"), ("mobile 5551234567 please", "5551234567"), ("john.smith(at)corp.net", "john.smith(at)corp.net"), ("server 2a02:26f0:fe::5e", "2a02:26f0:fe::5e"), ("(212) 555-0187 is my number", "(212) 555-0187"),
+    ("tel: 030/12345678", "030/12345678"), ("contact anna at posteo dot de", "anna at posteo dot de"), ("ip 2001:0db8:85a3:0000:0000:8a2e:0370:7334", "2001:0db8:85a3:0000:0000:8a2e:0370:7334"), ("card 4111.1111.1111.1111 ok", "4111.1111.1111.1111"),
+    ("you can ring me on 0800 123 4567", "0800 123 4567"), ("mail bob(at)site(dot)io", "bob(at)site(dot)io"), ("addr 2607:f8b0:4005:805::200e", "2607:f8b0:4005:805::200e"), ("amex 3782.822463.10005", "3782.822463.10005"),
+]
+HAND_LOOK_ALIKES = [
+    "order 12345678 shipped", "12:30:45 and 13:00:00", "std::vector and a::b", "face::bad", "pages 1990-1995", "1 2 3 4 5 6 7 8 9 10", "mac 00:1a:2b:3c:4d:5e", "the ratio 16:9:4", "sit at home dot dot dot",
+    "look at example dot product today", "pi is 3.1415926535", "sku 123-456-7890 item", "scores 3-2 4-1 2-0", "built in 1889, 324 m", "x::y::z", "chapter 12 verse 5",
+]
+
+
+def test_recall_and_precision_on_text_by_hand():
+    found = [(span, [text[s:e] for _, s, e in P.find(text, P.trained())[1]]) for text, span in HAND]
+    assert sum(span in spans for span, spans in found) >= 0.9 * len(HAND), [x for x in found if x[0] not in x[1]]
+    assert sum(P.find(text, P.trained())[1] != [] for text in HAND_LOOK_ALIKES) <= 0.1 * len(HAND_LOOK_ALIKES)
+
+
+def test_long_digits():
+    assert P.find("0" * 5000 + "1.2.3.4", P.trained())[0] == [("ip", 0, 5007)]
+    assert P.find("7" * 1_000_000, P.trained())[1] == []
+    numbers = "12 34 " * 5000
+    assert [x for x in P.find(numbers, P.trained())[1] if x[0] == "email"] == []
+
+
 def test_held_out_quality():
     _, (slope, _), thresholds = P.trained()
     assert slope > 0 and all(t <= 1 for t in thresholds.values())
@@ -59,7 +86,7 @@ def test_added_spans_never_touch_base_spans():
 
 def test_query_rows(make, odd_rows):
     rows = [*odd_rows, (20, "😀 mail a@b.cc and +1 (269) 555-3296, 4111 1111 1111 1111")]
-    got = P.find_pii(make(rows)).collect()
+    got = P.find_pii(make(rows), redacted=True).collect()
     assert len(got) == len(rows)
     by = {(r["doc_id"], r["redacted"]): r for r in got}
     r = by[20, "😀 mail [EMAIL] and [PHONE], [CARD]"]

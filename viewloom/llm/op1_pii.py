@@ -10,8 +10,8 @@ base span, base spans come first, then higher scores.
 The trees are trained on TRAIN_TEXTS generated labelled lines (formats of personal data and look-alikes in
 carrier words), the same for every corpus; no row of the corpus is used for training.
 
-Defined results: null text is empty; texts without candidates have no spans; repeated rows are judged each;
-an empty table gives an empty result; other input columns are ignored.
+Defined results: null text is empty; texts without candidates have no spans; repeated rows are judged each; very long
+texts are judged whole, in time linear in their length, with SLICE candidates in memory at once; an empty table gives an empty result; other input columns are ignored.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ from __future__ import annotations
 import bisect
 import functools
 import hashlib
+import itertools
 import random
 import re
 from collections.abc import Iterator
@@ -28,12 +29,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from .boosting import BoostedTrees
-from .common import read_table
+from .common import arrow_map, read_table
 
 KINDS = ["email", "ip", "card", "phone"]
 TRAIN_TEXTS = 6_000
 MIN_PRECISION = 0.99
-MIN_PROBABILITY = 0.8
+#: The lowest threshold that is tried.
+MIN_PROBABILITY = 0.3
+#: Groups of digits that a written phone number has at most.
+MAX_GROUPS = 6
+#: Candidates that are scored at once.
+SLICE = 4096
 #: Characters of context on each side that the features see.
 CONTEXT = 32
 
@@ -47,8 +53,8 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
 _AT = re.compile(r"[A-Za-z0-9._%+-]{1,64}\x20?(?:\(at\)|\[at\]|\{at\}|(?<=\x20)at(?=\x20))\x20?[A-Za-z0-9-]{1,63}(?:\x20?(?:\(dot\)|\[dot\]|\{dot\}|(?<=\x20)dot(?=\x20)|\.)\x20?[A-Za-z0-9-]{1,63}){1,4}", re.IGNORECASE)
-_IP6 = re.compile(r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){3,7}(?::?[0-9A-Fa-f]{1,4}){1,4}(?![0-9A-Fa-f:])")
-_CHAIN = re.compile(r"[0-9](?:[\x20().+-]{0,3}[0-9])++")
+_IP6 = re.compile(r"(?<![0-9A-Za-z:.])[0-9A-Fa-f:]{0,4}:[0-9A-Fa-f:]*+(?![0-9A-Za-z])")
+_CHAIN = re.compile(r"[0-9](?:[\x20()./+-]{0,3}[0-9])++")
 _GROUP = re.compile(r"[0-9]+")
 
 
@@ -78,7 +84,7 @@ def base_spans(text: str) -> list[Span]:
             last = m.end()
         at = text.find("@", max(at + 1, last))
     for m in _IP.finditer(text):
-        if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split(".")):
+        if all(len(d := p.lstrip("0")) <= 3 and int(d or "0") <= 255 for p in m[0].split(".")):
             out.append(("ip", *m.span()))
     for m in _CARD.finditer(text):
         if len(m[0]) >= 14 and 14 <= len(d := _only_digits(m[0])) <= 19 and luhn(d):
@@ -90,14 +96,29 @@ def base_spans(text: str) -> list[Span]:
     return out
 
 
-def candidates(text: str) -> list[Span]:
+def _is_ip6(s: str) -> bool:
+    """Eight groups of up to four hexadecimal digits, or fewer with one '::'."""
+    if len(s) > 39 or s.count("::") > 1 or ":::" in s:
+        return False
+    groups = s.split(":")
+    if any(len(g) > 4 for g in groups):
+        return False
+    if "::" in s:
+        return len(s) > 2 and len(groups) <= 8 + (s.startswith("::") or s.endswith("::"))
+    return len(groups) == 8 and all(groups)
+
+
+def candidates(text: str) -> Iterator[Span]:
     """Spans that may be personal data, beyond the base patterns; they overlap freely."""
-    out: list[Span] = []
     low = text.lower() if " at " in text or "(" in text or "[" in text or "{" in text else ""
     if "at" in low and ("(at)" in low or "[at]" in low or "{at}" in low or " at " in low) and ("dot" in low or "." in low):
-        out += [("email", *m.span()) for m in _AT.finditer(text)]
-    if text.count(":") >= 3:
-        out += [("ip", *m.span()) for m in _IP6.finditer(text)]
+        for m in _AT.finditer(text):
+            yield "email", m.start(), m.end()
+    if text.count(":") >= 2:
+        for m in _IP6.finditer(text):
+            end = m.end() - (text[m.end() - 1] == ":" and text[m.end() - 2 : m.end()] != "::")  # a colon after an address
+            if _is_ip6(text[m.start() : end]):
+                yield "ip", m.start(), end
     for m in _CHAIN.finditer(text):
         # Numbers that stand next to each other make one chain: every run of its groups is proposed that has enough digits, and
         # not too many. A start has as many runs as there are digits at most, so long chains stay linear.
@@ -108,15 +129,15 @@ def candidates(text: str) -> list[Span]:
                 left -= 1
             if left and text[left - 1] == "+":
                 left -= 1
-            for s, e in groups[i:]:
-                n += e - s
+            for j in range(i, len(groups)):
+                end = groups[j][1]
+                n += end - groups[j][0]
                 if n > 19:
                     break
-                if 7 <= n <= 15:
-                    out.append(("phone", left, e))
-                if 13 <= n:
-                    out.append(("card", start, e))
-    return out
+                if 7 <= n <= 15 and j - i < MAX_GROUPS:
+                    yield "phone", left, end
+                if 13 <= n and luhn(_only_digits(text[start:end])):  # other numbers are no cards
+                    yield "card", start, end
 
 
 # Words before a span that speak for or against a kind.
@@ -124,8 +145,9 @@ FOR = {
     "email": ("email", "e-mail", "mail", "contact", "write", "reach"),
     "ip": ("ip", "host", "server", "address", "addr", "client", "from"),
     "card": ("card", "visa", "mastercard", "amex", "credit", "debit", "pay"),
-    "phone": ("phone", "tel", "call", "fax", "mobile", "cell", "contact"),
+    "phone": ("phone", "tel", "call", "fax", "mobile", "cell", "contact", "telefon", "telephone", "handy", "dial", "sms", "whatsapp", "ring"),
 }
+ENDINGS = frozenset("com org net edu gov io de fr es uk it nl eu info co us ch at be pl".split())
 AGAINST = ("order", "invoice", "isbn", "version", "item", "sku", "serial", "total", "ref", "ticket", "page", "date", "score", "v")
 
 
@@ -148,6 +170,7 @@ def features(text: str, span: Span) -> list[float]:
         float(digits[:1] in ("4", "5", "3", "6")), len(re.findall(r"[a-fA-F]", s)), float(bool(re.search(r"[0-9]{5,}", s))),
         float(s.count("(") != s.count(")")), float(before.rstrip(" ().+-")[-1:].isdigit()), float(after.lstrip(" ().+-")[:1].isdigit()),
         float(bool(re.fullmatch(r"\+1 ?\(?[0-9]{3}\)? ?[0-9]{3}[- ][0-9]{4}", s))), float(len(groups) == 1),
+        float(re.split(r"[^a-z]+", s.lower())[-1] in ENDINGS), float("::" in s), float(digits.startswith("00")), float(s.startswith("0")), float(any(w in FOR[kind] for w in words[-2:])),
     ]
 
 
@@ -184,19 +207,27 @@ def _positive(r: random.Random) -> tuple[str, str, bool]:
     kind = r.choice(KINDS)
     if kind == "email":
         at, dot = r.choice([("[at]", "[dot]"), ("(at)", "(dot)"), ("{at}", "{dot}"), (" [at] ", " [dot] "), (" (at) ", " (dot) "), ("(at)", "."), ("[at]", "."), (" at ", " dot ")])
-        return kind, f"{_word(r)}.{_word(r)}{at}{_word(r)}{dot}{r.choice(['com', 'org', 'net', 'de', 'fr'])}", at == " at " and r.random() < 0.5
+        name = r.choice([_word(r), f"{_word(r)}.{_word(r)}", f"{_word(r)}{r.randint(1, 99)}"])
+        return kind, f"{name}{at}{_word(r)}{dot}{r.choice(sorted(ENDINGS))}", at == " at " and r.random() < 0.3
     if kind == "ip":
-        n = r.choice([8, 8, 6, 5])
-        parts = [f"{r.randrange(65536):x}" for _ in range(n)]
-        return kind, ":".join(parts) if n == 8 else ":".join(parts[:-1]) + "::" + parts[-1], r.random() < 0.5
+        n = r.choice([8, 8, 1, 2, 3, 4, 5, 6])
+        parts = [r.choice(["2001", "2a02", "fe80", "fd00", "db8", "1", "0", f"{r.randrange(65536):x}", f"{r.randrange(65536):x}"]) for _ in range(n)]
+        cut = r.randint(0, n - 1)
+        return kind, ":".join(parts) if n == 8 else ":".join(parts[:cut]) + "::" + ":".join(parts[cut:]), n < 8 and r.random() < 0.3
     if kind == "card":
         d = _card_digits(r, r.choice([15, 16, 16]), True)
         sizes = [4, 6, 5] if len(d) == 15 else [4, 4, 4, 4]
         return kind, _grouped(d, sizes, r.choice([".", "  ", ". "])), False
     area, mid, end = str(r.randint(200, 999)), str(r.randint(200, 999)), _digits(r, 4)
-    style = r.randrange(5)
+    style = r.randrange(8)
     if style == 4:
         return kind, _grouped("0" + _digits(r, 9), [2] * 5, r.choice([" ", ".", "-"])), True
+    if style == 5:
+        return kind, _grouped("00" + r.choice(["49", "33", "34", "44", "1"]) + _digits(r, 9), [4, r.choice([2, 3]), 7] if r.random() < 0.5 else [4, 3, 3, 3], r.choice([" ", "-"])), True
+    if style == 6:
+        return kind, _grouped("0" + _digits(r, 10), r.choice([[3, 8], [4, 7], [3, 4, 4], [5, 6]]), r.choice([" ", "/", "-"])), True
+    if style == 7:
+        return kind, _digits(r, r.choice([9, 10, 11])), True
     return kind, (f"({area}) {mid}-{end}", f"{area}-{mid}-{end}", f"{area}.{mid}.{end}", f"({area}){mid}-{end}")[style], style in (1, 2)
 
 
@@ -227,7 +258,9 @@ def _negative(r: random.Random) -> str:
         lambda: f"{_word(r)} at {_word(r)}. {_word(r).title()} {_word(r)}",
         lambda: f"{_word(r)} at the {_word(r)}.",
         lambda: f"{_word(r)} at {_word(r)} dot {_word(r)} {_word(r)}" if r.random() < 0.2 else f"look at {_word(r)}.{_word(r)}",
-        lambda: ":".join(_digits(r, 2) for _ in range(r.randint(4, 6))),
+        lambda: ":".join(_digits(r, 2) for _ in range(r.randint(3, 6))),
+        lambda: "".join(r.choice("abcdef") for _ in range(r.randint(1, 4))) + "::" + "".join(r.choice("abcdef") for _ in range(r.randint(2, 4))),
+        lambda: "::",
         lambda: ":".join(f"{r.randrange(256):02x}" for _ in range(6)),
         lambda: "".join(r.choice("0123456789abcdef") for _ in range(40)),
         lambda: f"{r.choice(['page', 'score', 'total'])} {r.randint(1, 99)}-{_digits(r, 5)} ({_digits(r, 4)})",
@@ -291,23 +324,22 @@ def find(text: str, model) -> tuple[list[Span], list[Span]]:
     base = base_spans(text)
     taken = list(base)
     known = set(base)
-    more = [c for c in candidates(text) if c not in known]
-    if more and base:
+    starts, ends = zip(*sorted((s, e) for _, s, e in base)) if base else ((), ())
+    reach = np.maximum.accumulate(ends) if base else ends
+    proposed, good = candidates(text), []
+    while part := list(itertools.islice(proposed, SLICE)):
         # Candidates inside or across base spans can't be taken: leave them out before scoring.
-        starts, ends = zip(*sorted((s, e) for _, s, e in base))
-        reach = np.maximum.accumulate(ends)
-        at = np.searchsorted(starts, [e for _, _, e in more], side="left") - 1
-        more = [c for c, i in zip(more, at) if i < 0 or reach[i] <= c[1]]
-    if more:
-        z = trees.score(np.array([features(text, c) for c in more]))
-        p = 1 / (1 + np.exp(-(slope * z + shift)))
-        good = sorted(((-q, c) for q, c in zip(p, more) if q >= thresholds[c[0]]), key=lambda x: (x[0], x[1][1], x[1][2], x[1][0]))
-        used: list[tuple[int, int]] = []
-        for _, c in good:
-            i = bisect.bisect_left(used, (c[2], -1))
-            if i == 0 or used[i - 1][1] <= c[1]:
-                bisect.insort(used, (c[1], c[2]))
-                taken.append(c)
+        at = np.searchsorted(starts, [e for _, _, e in part], side="left") - 1
+        part = [c for c, i in zip(part, at) if (i < 0 or reach[i] <= c[1]) and c not in known]
+        if part:
+            p = 1 / (1 + np.exp(-(slope * trees.score(np.array([features(text, c) for c in part])) + shift)))
+            good += [(-q, c) for q, c in zip(p, part) if q >= thresholds[c[0]]]
+    used: list[tuple[int, int]] = []
+    for _, c in sorted(good, key=lambda x: (x[0], x[1][1], x[1][2], x[1][0])):
+        i = bisect.bisect_left(used, (c[2], -1))
+        if i == 0 or used[i - 1][1] <= c[1]:
+            bisect.insort(used, (c[1], c[2]))
+            taken.append(c)
     order = lambda x: (x[1], KINDS.index(x[0]), x[2])
     return sorted(base, key=order), sorted(taken, key=order)
 
@@ -326,30 +358,31 @@ def redact(text: str, spans: list[Span]) -> str:
     return "".join([*out, text[at:]])
 
 
-SCHEMA = "n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, redacted string"
+SCHEMA = "n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_spans long"
 
 
-def find_pii(docs: DataFrame) -> DataFrame:
-    """doc_id, counts, base_sha256, spans and the redacted text of every document."""
+def find_pii(docs: DataFrame, redacted: bool = False) -> DataFrame:
+    """doc_id, counts, base_sha256, spans, n_spans, and the redacted text if asked for, of every document."""
     model = trained()
     key = docs.schema["doc_id"].dataType.simpleString()
+    schema = SCHEMA + (", redacted string" if redacted else "")
+    names = ["doc_id", *(x.split()[0] for x in schema.split(", "))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo in range(0, batch.num_rows, 512):
-                part = batch.slice(lo, 512)
-                rows = []
-                for text in part.column("text").to_pylist():
-                    base, spans = find(text or "", model)
-                    kinds = [k for k, _, _ in base]
-                    sha = hashlib.sha256(digest(base).encode()).hexdigest()
-                    rows.append((*map(kinds.count, KINDS), sha, digest(spans), redact(text or "", spans)))
-                cols = list(zip(*rows))
-                arrays = [pa.array(c, pa.int64()) for c in cols[:4]] + [pa.array(c, pa.string()) for c in cols[4:]]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *arrays], names=["doc_id", *(x.split()[0] for x in SCHEMA.split(", "))])
+            rows = []
+            for value in batch.column("text"):
+                text = value.as_py() or ""
+                base, spans = find(text, model)
+                kinds = [k for k, _, _ in base]
+                sha = hashlib.sha256(digest(base).encode()).hexdigest()
+                rows.append((*map(kinds.count, KINDS), sha, digest(spans), len(spans), *([redact(text, spans)] if redacted else [])))
+            cols = list(zip(*rows)) or [()] * (len(names) - 1)
+            arrays = [pa.array(c, pa.string() if n in ("base_sha256", "spans", "redacted") else pa.int64()) for n, c in zip(names[1:], cols)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *arrays], names=names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {key}, {SCHEMA}")
+    return arrow_map(docs.select("doc_id", "text"), run, f"doc_id {key}, {schema}")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return find_pii(read_table(spark, sf_dir, "documents")).drop("redacted")
+    return find_pii(read_table(spark, sf_dir, "documents"))
