@@ -1,5 +1,9 @@
 from __future__ import annotations
 
+import time
+
+import pytest
+
 from viewloom.llm import op8_html as H
 
 
@@ -78,7 +82,55 @@ def test_template_of_a_host(spark):
 def test_classes():
     rows = [dict(path=H.ROOT.path, parent=0, pages=4, vector=1, text=0, links=0, same=False), dict(path=11, parent=H.ROOT.path, pages=4, vector=1, text=0, links=0, same=False), dict(path=12, parent=11, pages=4, vector=2, text=400, links=0, same=False), dict(path=13, parent=11, pages=4, vector=1, text=900, links=0, same=True), dict(path=14, parent=99, pages=4, vector=3, text=0, links=0, same=False), dict(path=15, parent=11, pages=1, vector=4, text=9, links=0, same=False)]
     t = H.deduce(rows, 4)
-    assert t.tokens == {H.ROOT.path, 11, 12, 13} and t.fixed == {13} and t.main == 11
+    assert t.tokens == {H.ROOT.path, 11, 12, 13} and t.fixed == {13} and t.mains == (11,)
+
+
+def test_deduction_by_brute_force(spark):
+    """Classes by whole occurrence vectors, compared pairwise, give the tokens, fixed slots and containers that the aggregation gives."""
+    htmls = [page("", body=f'<div class="w{i % 2}"><p>Same on all.</p><div id="post-{i}" class="post post-{i}"><h1>T{i}</h1>{"<p>x y z</p>" * (i % 3)}<ul><li>a {i}</li></ul></div></div><div class="z"><p>end {i % 4}</p></div>') for i in range(8)]
+    stats = [H._page_stats(x) for x in htmls]
+    paths = {p for s in stats for p in s}
+    vector = {p: tuple(s.get(p, [0, 0])[1] for s in stats) for p in paths}
+    support = {p: sum(map(bool, v)) for p, v in vector.items()}
+    parent = {p: s[p][0] for s in stats for p in s}
+    kept = {p for p in paths if support[p] >= max(2, H.MIN_SUPPORT * len(htmls))}
+    inside = {H.ROOT.path}
+    while new := {p for p in kept - inside if parent[p] in inside}:
+        inside |= new
+    fixed = {p for p in inside if support[p] >= 3 and len({s[p][4] for s in stats if p in s}) == 1}
+    rows = [(f"https://a.com/{i}", x) for i, x in enumerate(htmls)]
+    host = H.templates(pages(spark, rows)).first()
+    tokens = [r.asDict() for r in host["tokens"]]
+    t = H.deduce(tokens, host["host_pages"])
+    assert host["host_pages"] == len(htmls) and t.tokens == inside and t.fixed == fixed
+    same = {(a["path"], b["path"]) for a in tokens for b in tokens if a["vector"] == b["vector"]}
+    assert same == {(a, b) for a in kept for b in kept if vector[a] == vector[b]}
+
+
+def test_all_heavy_slots_and_layouts(spark):
+    rows = [(f"https://a.com/{i}", page("", body=f'<div id="post-{i}" class="post"><h1>Title {i} of it</h1><p>Lead {i} text.</p><div class="body"><p>Body {i} text is longer.</p></div><ul><li>point {i} is here</li></ul></div>')) for i in range(4)]
+    rows += [(f"https://a.com/x{i}", page("", body=f'<div class="story"><p>Other layout {i} with its own long text, quite long.</p></div>')) for i in range(4)]
+    out = {r["page_id"]: r["text"] for r in H.extract(pages(spark, rows)).collect()}
+    assert [out[i] for i in range(4)] == [f"Title {i} of it\nLead {i} text.\nBody {i} text is longer.\npoint {i} is here" for i in range(4)]
+    assert [out[4 + i] for i in range(4)] == [f"Other layout {i} with its own long text, quite long." for i in range(4)]
+
+
+def test_words_in_classes():
+    assert one('<body><article class="post category-social format-aside no-sidebar"><p class="social">a</p><p class="alert">b</p><p class="ad">c</p></article></body>') == "a\nb"
+    assert one('<body><div class="form"><p>The page stands in a form, as some systems make it.</p></div><div class="site-footer"><p>f</p></div></body>') == "The page stands in a form, as some systems make it."
+
+
+@pytest.mark.parametrize("html", ["<a " * 340_000, "<a href='" * 120_000, "<!--" * 250_000, "<b>" * 300_000, "</p>" * 250_000, "<div>" * 30_000 + "</b>" * 100_000, "<script" * 140_000, "<b>" * 100_000 + "x<p></p>" * 50_000, "&" * 1_000_000])
+def test_malformed_pages_are_linear(html):
+    began = time.perf_counter()
+    one(html)
+    assert time.perf_counter() - began < 15
+
+
+def test_unended_tags_take_under_a_second():
+    began = time.perf_counter()
+    one("<a " * 340_000)
+    assert time.perf_counter() - began < 1
 
 
 def test_marked_pages_are_extracted_by_the_template(spark):
@@ -92,7 +144,7 @@ def test_marked_pages_are_extracted_by_the_template(spark):
 
 def test_copies_are_one_page(spark):
     def plain(i):
-        return page("", body=f'<div class="w"><p>Welcome.</p></div><div class="b"><p>Story {i}.</p></div>')
+        return page("", body=f'<div class="w"><p>Hello.</p></div><div class="b"><p>Story {i}.</p></div>')
 
     rows = [("https://copies.com/", plain(0))] * 5 + [("https://most.com/", plain(0))] * 9 + [(f"https://most.com/{i}", plain(i)) for i in (1, 2)]
     rows += [(f"https://foot.com/{i}", page("", host=f"{i}.com", body='<div class="b"><p>One story.</p></div>')) for i in range(4)]
