@@ -29,8 +29,11 @@ def time(t: str, high: bool) -> str:
 def date_time(t: str, high: bool) -> str:
     rest, zone = ("T23:59:59.999", "-12:00") if high else ("T00:00:00.000", "+14:00")
     day = date(t, high)
-    clock = time(f"substring({t}, 12)", high)
-    return f"CASE WHEN instr({t}, 'T') = 0 THEN concat({day}, '{rest}{zone}') ELSE concat(left({t}, 10), 'T', {clock}, '{zone}') END"
+    # An offset that is given stays; only a missing one is unknown.
+    given = f"regexp_extract({t}, '(Z|[+-][0-9]{{2}}:[0-9]{{2}})$', 1)"
+    clock = time(f"regexp_replace(substring({t}, 12), '(Z|[+-][0-9]{{2}}:[0-9]{{2}})$', '')", high)
+    offset = f"IF({given} = '', '{zone}', {given})"
+    return f"CASE WHEN instr({t}, 'T') = 0 THEN concat({day}, '{rest}{zone}') ELSE concat(left({t}, 10), 'T', {clock}, {offset}) END"
 
 
 def by_lexeme(t: str, high: bool, is_number: str | None) -> str:

@@ -23,8 +23,14 @@ def fresh(prefix: str = "v_") -> str:
     return f"{prefix}{next(_ids)}"
 
 
-def quoted_numbers(json: str) -> str:
-    """JSON text with its numbers as marked strings."""
+def quoted_numbers(json: str, names: frozenset[str] | None = None) -> str:
+    """JSON text with its numbers as marked strings; only those of members with one of the names, if there are any given.
+
+    A quote inside a JSON string has a backslash before it, so a name with its two quotes and a colon after it is a member.
+    """
+    if names and all(n.isalnum() for n in names):
+        number = r"(-?[0-9]+(?:\\.[0-9]+)?(?:[eE][+\\-]?[0-9]+)?)(?=\\s*+[,}\\]])"
+        return f"regexp_replace({json}, '(\"(?:{'|'.join(sorted(names))})\"\\\\s*+:\\\\s*+){number}', '$1\"{NUMBER_MARK}$2\"')"
     return f"regexp_replace({json}, '{_NUMBERS}', '$1\"{NUMBER_MARK}$2\"')"
 
 
@@ -54,6 +60,18 @@ def member_of_one(x: str, name: str) -> str:
     return _present(_step(x, name))
 
 
+def path_of_one(x: str, names: list[str]) -> str:
+    """The collection at a path of members of one variant.
+
+    Where all steps but the last are single objects, which the path itself tells, it is one step; else each step takes the elements of the one before.
+    """
+    if len(names) == 1:
+        return member_of_one(x, names[0])
+    whole = "'$" + "".join(_key(n)[2:-1] for n in names) + "'"
+    direct = f"coalesce(try_variant_get({x}, {whole}, 'array<variant>'), array(try_variant_get({x}, {whole}, 'variant')))"
+    return f"CASE WHEN try_variant_get({x}, {whole}, 'variant') IS NOT NULL THEN {_present(direct)} ELSE {member_of_many(path_of_one(x, names[:-1]), names[-1])} END"
+
+
 def member_of_many(collection: str, name: str) -> str:
     """The collection at a member of every element of a collection."""
     x = fresh()

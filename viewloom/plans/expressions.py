@@ -18,8 +18,9 @@ from ..model import RESOURCE_TYPES
 
 NUMBERS = ("integer", "decimal")
 DECIMAL = "DECIMAL(38,18)"
-#: Operands of arithmetic: narrower, so that products keep their digits.
+#: Operands of products and quotients, if they fit: narrower, so that these keep their digits; and the type of those of wider ones.
 OPERAND = "DECIMAL(20,8)"
+WIDE = "DECIMAL(38,13)"
 
 
 @dataclass(frozen=True)
@@ -174,12 +175,26 @@ def _member(base: A.Expr | None, name: str, s: Scope) -> Value:
         return Value(N.member_of_one(s.this, name), True, "variant")
     if isinstance(base, A.Variable) and base.name == "this":
         return Value(N.member_of_one(s.this, name), True, "variant")
+    names = _chain(base, s)
+    if names:
+        return Value(N.path_of_one(s.this, [*names, name]), True, "variant")
     v = compile_expr(base, s)
     if v.type != "variant":
         raise FhirPathError(f"a {v.type} has no member '{name}'")
     return Value(N.member_of_many(collection(v), name), True, "variant")
 
 
+def _chain(e: A.Expr | None, s: Scope) -> list[str]:
+    """The names of a path of members from $this; none for other expressions."""
+    names: list[str] = []
+    while isinstance(e, A.Member):
+        names.append(e.name)
+        e = e.base
+    if s.at_root and e is None and names and names[-1] == s.resource:
+        names.pop()
+    return names[::-1] if e is None or isinstance(e, A.Variable) and e.name == "this" else []
+
+
 def _index(base: A.Expr, index: A.Expr, s: Scope) -> Value:
     v = compile_expr(base, s)
     if not v.many:
@@ -232,7 +247,20 @@ def _equal_elements(x: str, xt: str, y: str, yt: str, s: Scope) -> str:
 
 
 def _equal(a: Value, b: Value, s: Scope) -> str:
-    return _equal_elements(first(a), a.type, first(b), b.type, s)
+    """Equality of collections: the same elements in the same order; empty if one is."""
+    if not a.many and not b.many:
+        return _equal_elements(a.sql, a.type, b.sql, b.type, s)
+    if a.many and b.many:
+        x, y, p, q = N.fresh(), N.fresh(), N.fresh(), N.fresh()
+        same = _equal_elements(p, a.type, q, b.type, s)
+        # Lambda variables, so that a collection is made once.
+        t = N.fresh()
+        both = f"CASE WHEN size({x}) = 0 OR size({y}) = 0 THEN CAST(NULL AS BOOLEAN) WHEN size({x}) <> size({y}) THEN false ELSE forall(zip_with({x}, {y}, ({p}, {q}) -> {same}), {t} -> {t}) END"
+        return f"get(transform(array({a.sql}), {x} -> get(transform(array({b.sql}), {y} -> {both}), 0)), 0)"
+    many, other = (a, b) if a.many else (b, a)
+    x = N.fresh()
+    one = _equal_elements(f"get({x}, 0)", many.type, other.sql, other.type, s)
+    return f"get(transform(array({many.sql}), {x} -> CASE WHEN size({x}) > 1 THEN IF({other.sql} IS NULL, CAST(NULL AS BOOLEAN), false) ELSE {one} END), 0)"
 
 
 def _ordered(op: str, a: Value, b: Value, s: Scope) -> str:
@@ -263,11 +291,14 @@ def _arithmetic(op: str, a: Value, b: Value, s: Scope) -> Value:
     whole = a.type == b.type == "integer"
     if whole and op in ("+", "-", "*"):
         return _scalar(f"(CAST({first(a)} AS BIGINT) {op} {first(b)})", "integer")
-    x, y = number(a, s, OPERAND), number(b, s, OPERAND)
-    if op in ("+", "-", "*"):
+    x, y = number(a, s), number(b, s)
+    if op in ("+", "-"):
         return _scalar(f"({x} {op} {y})", "decimal")
-    if op == "/":
-        return _scalar(f"try_divide({x}, {y})", "decimal")
+    if op in ("*", "/"):
+        n, m = number(a, s, OPERAND), number(b, s, OPERAND)
+        # What fits neither way is an error of the session (ANSI), never silently no value.
+        narrow, wide = (f"({n} * {m})", f"({x} * {y})") if op == "*" else (f"try_divide({n}, {m})", f"try_divide({x}, {y})")
+        return _scalar(f"CASE WHEN {n} IS NULL OR {m} IS NULL THEN CAST({wide} AS {WIDE}) ELSE CAST({narrow} AS DECIMAL(38,16)) END", "decimal")
     if op == "div":
         return _scalar(f"CAST(try_divide({x}, {y}) AS BIGINT)", "integer")
     rest = f"try_mod({x}, {y})"

@@ -82,6 +82,34 @@ def needs_lexemes(view: ViewDefinition) -> bool:
     return text_columns or any("Boundary" in p for p in paths)
 
 
+def _names(e) -> set[str]:
+    """The members that an expression names, with the names that ofType() makes of them."""
+    out: set[str] = set()
+    if isinstance(e, A.Member):
+        out.add(e.name)
+    if isinstance(e, A.TypeTest) or isinstance(e, A.Call) and e.name == "ofType":
+        base = e.operand if isinstance(e, A.TypeTest) else e.base
+        kind = e.type_name if isinstance(e, A.TypeTest) else X._type_name(e.args[0])
+        if isinstance(base, A.Member):
+            out.add(base.name + kind[0].upper() + kind[1:])
+    for x in vars(e).values():
+        for y in x if isinstance(x, (tuple, list)) else [x]:
+            if isinstance(y, A.Expr):
+                out |= _names(y)
+    return out
+
+
+def lexeme_names(view: ViewDefinition) -> frozenset[str] | None:
+    """The members whose numbers keep their digits: all that the view's paths name; None for all numbers, where a collection's JSON shows others."""
+    if any(c.collection for c in _columns(view.selects)):
+        return None
+    try:
+        names = frozenset().union(*(_names(parse(p)) for p in [*_paths(view.selects), *view.where]))
+    except FhirPathError:
+        return None  # reported where the path is compiled
+    return names or None
+
+
 class _Compiler:
     def __init__(self, view: ViewDefinition, table: Table, strict: bool):
         self.view, self.table, self.strict = view, table, strict
@@ -202,7 +230,8 @@ class _Compiler:
             doc, as_text = f"r.{json_column}", f"to_json(r.{json_column})"
         else:
             as_text = f"r.{json_column}"
-            doc = f"try_parse_json({N.quoted_numbers(as_text) if self.scope.lexemes else as_text})"
+            # A document that isn't JSON is an error; NULL is a document without members.
+            doc = f"parse_json({N.quoted_numbers(as_text, lexeme_names(self.view)) if self.scope.lexemes else as_text})"
         # A generator of one row, so that a document is parsed once: a plain column would be put into each condition above it.
         parsed = f"LATERAL VIEW explode(array({doc})) d AS _doc"
         base = [f"r.{quoted(t.id_column)} AS _id", "r.resource_type AS _rt", "d._doc"]

@@ -19,9 +19,28 @@ SQL: dict[str, str] = {}
 _TAGGED = {"name": "ansi/type", "value": ""}
 _CUSTOMER = "customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey"
 _LINES = "(SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_returnflag, l_linestatus) - 1 AS i FROM lineitem)"
+_TRIM_MONEY = "regexp_replace(regexp_replace(CAST(CAST(c_acctbal AS DECIMAL(18,2)) + 1234567890123.5 AS VARCHAR), '([.][0-9]*?)0+$', '\\1'), '[.]$', '')"
 _MONEY = "CAST(CAST({} AS DECIMAL(18,2)) AS VARCHAR)"
 
 
+#: Where the queries get the resources of a kind from.
+_source: Callable[[str], Callable[[SparkSession, str], DataFrame]] = BUILDERS.__getitem__
+
+
+def over(name: str, source: Callable[[str], Callable[[SparkSession, str], DataFrame]]) -> Query:
+    """A query with its resources from another source."""
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        global _source
+        before, _source = _source, source
+        try:
+            return QUERIES[name](spark, sf_dir)
+        finally:
+            _source = before
+
+    return query
+
+
 def col(name: str, path: str, kind: str | None = None, **more) -> dict:
     return {"name": name, "path": path, **({"type": kind} if kind else {}), **more}
 
@@ -41,7 +60,7 @@ def cols(*columns: dict, **more) -> dict:
 
 def register(name: str, definition: dict, sql: str) -> None:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return ViewEngine(spark).run(definition, BUILDERS[definition["resource"]](spark, sf_dir))
+        return ViewEngine(spark).run(definition, _source(definition["resource"])(spark, sf_dir))
 
     QUERIES[name], SQL[name] = query, sql
 
@@ -53,9 +72,9 @@ ID = col("id", "id", "id")
 
 def _all_resources(spark: SparkSession, sf_dir: str) -> DataFrame:
     kinds = ("Patient", "Organization", "Questionnaire")
-    out = BUILDERS[kinds[0]](spark, sf_dir)
+    out = _source(kinds[0])(spark, sf_dir)
     for k in kinds[1:]:
-        out = out.unionByName(BUILDERS[k](spark, sf_dir))
+        out = out.unionByName(_source(k)(spark, sf_dir))
     return out
 
 
@@ -286,9 +305,9 @@ register(
 def key_join_views(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Views joined on resource key and reference key: spending by segment and region."""
     engine = ViewEngine(spark)
-    claims = engine.run(view("Claim", cols(col("patient", "patient.getReferenceKey(Patient)"), col("total", "total.value", tag=[{"name": "ansi/type", "value": "DECIMAL(18,2)"}]))), BUILDERS["Claim"](spark, sf_dir))
+    claims = engine.run(view("Claim", cols(col("patient", "patient.getReferenceKey(Patient)"), col("total", "total.value", tag=[{"name": "ansi/type", "value": "DECIMAL(18,2)"}]))), _source("Claim")(spark, sf_dir))
     patients = engine.run(
-        view("Patient", cols(col("key", "getResourceKey()"), col("segment", "name.first().given.first()"), col("region", "extension('urn:region').extension('name').value.ofType(string)"))), BUILDERS["Patient"](spark, sf_dir)
+        view("Patient", cols(col("key", "getResourceKey()"), col("segment", "name.first().given.first()"), col("region", "extension('urn:region').extension('name').value.ofType(string)"))), _source("Patient")(spark, sf_dir)
     )
     return claims.join(patients, claims["patient"] == patients["key"]).groupBy("segment", "region").agg(F.count(F.lit(1)).alias("n"), F.sum("total").cast("decimal(28,2)").alias("total"))
 
@@ -349,6 +368,13 @@ register(
 )
 _patient("op_concat", "gender & '/' & name.first().family", "string", "coalesce(CASE c_custkey % 3 WHEN 0 THEN 'male' WHEN 1 THEN 'female' END, '') || '/' || c_name")
 _patient("op_equality", "gender = 'male'", "boolean", "CASE c_custkey % 3 WHEN 0 THEN true WHEN 1 THEN false END")
+_patient("literal_boolean", "active = true", "boolean", "c_acctbal > 0")
+_patient("literal_empty", "({}).exists()", "boolean", "false")
+_patient("delimited_name", "`gender` = 'male'", "boolean", "CASE c_custkey % 3 WHEN 0 THEN true WHEN 1 THEN false END")
+_patient("constant_resource", "%resource.gender", "string", "CASE c_custkey % 3 WHEN 0 THEN 'male' WHEN 1 THEN 'female' END")
+_patient("root_where", "where(gender = 'male')", "boolean", "CASE c_custkey % 3 WHEN 0 THEN true WHEN 1 THEN false END")
+_patient("op_equality_of_collections", "name.use = 'official'", "boolean", "c_custkey % 2 <> 0")
+_patient("op_arith_large", "balance + 1234567890123.5", "string", _TRIM_MONEY)
 _patient("op_inequality", "gender != 'male'", "boolean", "CASE c_custkey % 3 WHEN 0 THEN false WHEN 1 THEN true END")
 _patient("op_compare", "balance >= 5000.5", "boolean", "CAST(c_acctbal AS DECIMAL(18,2)) >= 5000.5")
 _patient("op_logic", "active and gender = 'male' or multipleBirth.ofType(integer) > 2", "boolean", "(c_acctbal > 0 AND CASE c_custkey % 3 WHEN 0 THEN true WHEN 1 THEN false END) OR CASE WHEN c_custkey % 2 = 0 THEN c_custkey % 5 > 2 END")
@@ -372,7 +398,7 @@ register(
 
 
 def turns_by_sender(spark: SparkSession, sf_dir: str) -> DataFrame:
-    turns = ViewEngine(spark).run(view("Communication", cols(col("conversation", "subject.getReferenceKey()"), col("sender", "sender.getReferenceKey(Practitioner)")), where=("payload.content.ofType(string).exists()",)), BUILDERS["Communication"](spark, sf_dir))
+    turns = ViewEngine(spark).run(view("Communication", cols(col("conversation", "subject.getReferenceKey()"), col("sender", "sender.getReferenceKey(Practitioner)")), where=("payload.content.ofType(string).exists()",)), _source("Communication")(spark, sf_dir))
     return turns.groupBy("conversation", "sender").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -395,8 +421,14 @@ def load_export_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from the session; one of this machine only where none is set."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="viewloom-")).rstrip("/")
+    """The folder that driver and executors share, from the session; one of this machine only where none is set and all is one JVM."""
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if not where:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError(f"spark.checkpoint.dir is not set: on {master} a folder is needed that all executors share")
+        where = "file://" + tempfile.mkdtemp(prefix="viewloom-")
+    return where.rstrip("/")
 
 
 QUERIES["load_export_roundtrip"] = load_export_roundtrip
@@ -405,9 +437,38 @@ SQL["load_export_roundtrip"] = (
 )
 
 
+def ndjson_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Resources of all kinds, exported to one NDJSON file for each kind, loaded from these files into a new table, and compared line by line."""
+    from .sources.export import export_ndjson
+    from .sources.load import load_ndjson
+    from .sources.table import ResourceTable
+
+    folder = f"{shared_folder(spark)}/ndjson-{uuid.uuid4().hex}"
+    table = ResourceTable(spark, f"{folder}/table")
+    for kind in BUILDERS:
+        table.append(_source(kind)(spark, sf_dir))
+    export_ndjson(table.read(), f"{folder}/files".removeprefix("file://"))
+    load_ndjson(spark, f"{folder}/files", f"{folder}/loaded")
+    line = F.sha2("json", 256).alias("line")
+    before = table.read().select("resource_type", line).distinct().withColumn("same", F.lit(1))
+    after = ResourceTable(spark, f"{folder}/loaded").read().select("resource_type", line, F.get_json_object("json", "$.id").alias("key"))
+    both = after.join(before, ["resource_type", "line"], "left")
+    return both.groupBy("resource_type").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("key").alias("ids"), F.count("same").alias("same"))
+
+
+QUERIES["ndjson_roundtrip"] = ndjson_roundtrip
+SQL["ndjson_roundtrip"] = " UNION ALL ".join(
+    f"SELECT '{kind}' AS resource_type, count(*) AS n, count(DISTINCT {key}) AS ids, count(*) AS same FROM {table}"
+    for kind, key, table in [
+        ("Patient", "c_custkey", "customer"), ("Organization", "s_suppkey", "supplier"), ("Claim", "o_orderkey", "orders"), ("Observation", "event_id", "events"),
+        ("Communication", "conv_id || '-' || turn", "conversations"), ("Questionnaire", "r_regionkey", "region"), ("DocumentReference", "d.doc_id", "documents d LEFT JOIN labels l ON d.doc_id = l.doc_id"),
+    ]
+)
+
+
 def variant_storage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same view over a VARIANT column."""
-    resources = BUILDERS["Claim"](spark, sf_dir).withColumn("json", F.parse_json("json"))
+    resources = _source("Claim")(spark, sf_dir).withColumn("json", F.parse_json("json"))
     return ViewEngine(spark).run(view("Claim", cols(ID), cols(col("seq", "sequence", "integer"), col("flag", "productOrService.coding[1].code"), forEach="item")), resources)
 
 

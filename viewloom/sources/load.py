@@ -125,7 +125,7 @@ def load_ndjson(
         return LoadResult(out, sum(r.rows_loaded for r in out), False, time.time() - began, found.skipped)
 
     table = ResourceTable(spark, table_path)
-    kind, warning = table.prepare(json_data_type, create_table, truncate)
+    kind, warning = table.prepare(json_data_type, create_table)
     if warning:
         log(warning)
     checked = lines.withColumn("ok", F.coalesce(is_resource(F.col("json")), F.lit(False)))
@@ -137,6 +137,8 @@ def load_ndjson(
             at.errors.append(f"{r['bad']} of {r['good'] + r['bad']} lines are not JSON objects; the first: {r['first']['json']}")
         at.rows_loaded = r["good"] if continue_on_error or not r["bad"] else 0
     loaded = [n for n, r in results.items() if r.rows_loaded]
+    if truncate and (loaded or not any(r.errors for r in results.values())):
+        table.truncate()  # once the new lines are known to be good: a folder of bad files leaves the old rows
     if loaded:
         json = F.parse_json("json") if kind == "VARIANT" else F.col("json")
         rows = checked.filter("ok").filter(F.col("file").isin(loaded))

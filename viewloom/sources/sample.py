@@ -158,3 +158,12 @@ BUILDERS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "Patient": patients, "Organization": organizations, "Claim": claims, "Observation": observations,
     "Communication": communications, "Questionnaire": questionnaires, "DocumentReference": document_references,
 }
+
+
+def stored(table) -> Callable[[str], Callable[[SparkSession, str], DataFrame]]:
+    """Resources of a kind from a ResourceTable, in place of those that BUILDERS make."""
+
+    def builder(kind: str) -> Callable[[SparkSession, str], DataFrame]:
+        return lambda spark, sf_dir: table.read().filter(F.col("resource_type") == kind)
+
+    return builder

@@ -33,7 +33,7 @@ class ResourceTable:
             return "VARIANT"
         raise LoadError(f"the table in {self.path} has no json column of type STRING or VARIANT")
 
-    def prepare(self, wanted: str, create: bool = True, truncate: bool = False) -> tuple[str, str | None]:
+    def prepare(self, wanted: str, create: bool = True) -> tuple[str, str | None]:
         """Makes the table ready to be written to: (its JSON type, a warning). An existing table's type wins."""
         wanted = storage_type(wanted)
         if not self.exists():
@@ -41,8 +41,6 @@ class ResourceTable:
                 raise LoadError(f"there is no table in {self.path}")
             return wanted, None
         have = self.json_type()
-        if truncate:
-            self.files.delete(self.path)
         warning = f"the table's json column is {have}, not {wanted}; {have} is used" if have != wanted else None
         return have, warning
 
@@ -52,6 +50,10 @@ class ResourceTable:
         last = self.read().agg(F.max("id")).first()[0]
         return 0 if last is None else last + 1
 
+    def truncate(self) -> None:
+        if self.exists():
+            self.files.delete(self.path)
+
     def append(self, rows: DataFrame) -> None:
         """Appends rows (id, resource_type, json), sorted by type within a task, so that it has one file open at a time."""
         rows.sortWithinPartitions("resource_type", "id").write.mode("append").partitionBy("resource_type").parquet(self.path)
