@@ -126,7 +126,9 @@ def scan(docs: DataFrame, ledger_path: str, rule_version: int = RULE_VERSION, ke
         new = new.join(carriers.select("blob"), "blob", "left_semi").dropDuplicates(["blob"])
         new.write.parquet(f"{ledger_path}/run={uuid.uuid4().hex}")
     discard(carriers)
-    return paths.join(known(spark, ledger_path, rule_version), "blob").select("doc_id", *keep, "blob", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
+    # A table of its own: only a join of two plain inputs is split where many paths have one blob.
+    findings = written(known(spark, ledger_path, rule_version), "findings")
+    return paths.join(findings, "blob").select("doc_id", *keep, "blob", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
 
 
 def redact(docs: DataFrame, ledger_path: str, mark: str) -> DataFrame:
