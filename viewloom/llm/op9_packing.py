@@ -35,8 +35,9 @@ END_ID = 0
 #: The split pattern of the byte-level file (public_tokenizers.PATTERN).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 LONG_RUN = 100_000
-#: Pieces of a length that are numbered at once.
+#: Pieces of a length that are numbered at once, and the least number of buckets of a length.
 BUCKET_ROWS = 100_000
+MIN_BUCKETS = 64
 
 
 class Ids:
@@ -168,7 +169,7 @@ def places(bins: list[tuple[int, dict[int, int]]]) -> list[tuple[int, int, int,
 def ranked(pieces: DataFrame, histogram: dict[int, int]) -> DataFrame:
     """Adds `rank`: gapless from 0 among the pieces of a length. Buckets are dealt by the pieces' own numbers `_row`."""
     spark = pieces.sparkSession
-    table = [(x, -(-n // BUCKET_ROWS)) for x, n in histogram.items()] or [(0, 1)]
+    table = [(x, max(MIN_BUCKETS, -(-n // BUCKET_ROWS))) for x, n in histogram.items()] or [(0, 1)]
     buckets = spark.createDataFrame(table, "length long, _buckets long")  # at most `capacity` rows
     rows = pieces.join(F.broadcast(buckets), "length").withColumn("_bucket", F.pmod(F.xxhash64("_row"), F.col("_buckets")))
     before = Window.partitionBy("length").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
