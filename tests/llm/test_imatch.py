@@ -1,16 +1,43 @@
 from __future__ import annotations
 
 import hashlib
+import os
+import re
 
 import pytest
+import xxhash
 
 from viewloom.llm import op10_imatch as I
 
 from .conftest import prose
 
 
+def h64(value, seed=42):
+    """The engine's xxhash64 of a string, or of a hash already made (a long)."""
+    return xxhash.xxh64(value.encode() if isinstance(value, str) else value.to_bytes(8, "little"), seed=seed).intdigest()
+
+
+def signed(h):
+    return h - (1 << 64) if h >> 63 else h
+
+
+def fingerprint(text, lexicon):
+    """Brute force: each subset decided for each term alone, the terms of a subset hashed in order."""
+    def part(holds):
+        out = 0
+        for t in sorted({w for w in re.split(r"[^0-9A-Za-z\x80-\U0010ffff]+", text or "") if w}, key=str.encode):
+            if t in lexicon and holds(h64(t)):
+                out = h64(h64(t), seed=h64(out))
+        return f"{out:X}".lower() if out else "-"
+
+    def in_subset(h, k):
+        return all(xxhash.xxh64(j.to_bytes(4, "little"), seed=h64(h)).intdigest() >> k & 1 for j in range(1, I.SCALES[k // I.PER_SCALE] + 1))
+
+    return [part(lambda h: True), *[part(lambda h, k=k: in_subset(h, k)) for k in range(I.SUBSETS)]]
+
+
 def nexts(rows):
-    order = sorted(rows, key=lambda r: (-(r[0] if r[0] is not None else -(2**63)), r[1] or ""))
+    order = sorted(rows, key=lambda r: (-(r[0] if r[0] is not None else -(2**63)), signed(h64(r[1] or "")), r[1] or ""))
     return [(r, order[(i + 1) % len(order)]) for i, r in enumerate(order)]
 
 
@@ -67,3 +94,30 @@ def test_terms_are_those_of_the_band(make):
     rows = [(i, "common " + f"rare{i} " + ("mid " if i % 4 == 0 else "")) for i in range(40)]
     assert I.lexicon_of(make(rows), 40, (0.1, 0.5)) == ["mid"]
     assert I.lexicon_of(make(rows), 40, (0.1, 1.0)) == ["common", "mid"]
+
+
+def test_fingerprints_by_brute_force(make):
+    rows = [(i, prose(i % 30, 5 + 13 * (i % 20))) for i in range(60)] + [(100, None), (101, ""), (102, "é " * 3)]
+    lexicon = set(I.lexicon_of(make(rows), len(rows), (0.02, 0.9)))
+    assert lexicon
+    following = {r: n for r, n in nexts(rows)}
+    for r in I.fingerprints(make(rows), (0.02, 0.9)).collect():
+        row = next(x for x in rows if x[0] == r["doc_id"])
+        near = following[row]
+        own, other, changed = (fingerprint(t, lexicon) for t in (row[1], near[1], edited(row[1], near[1])))
+        assert r["fingerprint"] == ".".join(own) and r["edited_fingerprint"] == ".".join(changed)
+        for name, b in (("near_next", other), ("near_edited", changed)):
+            used = [(x, y) for x, y in zip(own, b) if (x, y) != ("-", "-")]
+            assert r[name] == pytest.approx(sum(x == y for x, y in used) / len(used) if used else 1.0)
+
+
+def test_one_id_for_a_third_of_the_rows_is_split(make):
+    rows = [(7 if i % 3 == 0 else None if i % 3 == 1 else i, prose(i, 6)) for i in range(3000)]
+    check(make, rows)
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test data")
+def test_recall(spark):
+    rows = I.query(spark, "/root/testdata/sf0.01").select("near_edited", "near_next").collect()
+    assert sum(r["near_edited"] >= I.NEAR for r in rows) >= 0.9 * len(rows)
+    assert sum(r["near_next"] >= I.NEAR for r in rows) <= 0.05 * len(rows)
