@@ -41,6 +41,18 @@ def test_held_out_rows_are_never_learned_from(make):
     assert L.fit(make(rows)).langs == ["en"]
 
 
+def test_bounds_are_of_each_language(make, monkeypatch):
+    monkeypatch.setattr(L, "MAX_WORDS", 2)
+    monkeypatch.setattr(L, "TRAIN_DOCS", 10_000)
+    rows = [(i, "the the the and and of", "en") for i in range(200)] + [(1000 + i, "die die die und und von", "de") for i in range(20)]
+    model = L.fit(make(rows))
+    assert sorted(model.index[0]) == ["and", "die", "the", "und"]
+    en, de = (sum(x == lang and not zlib.crc32(str(i).encode()) % 5 == 0 for i, _, x in rows) for lang in ("en", "de"))
+    counts = {"the": (0, 3 * en), "and": (0, 2 * en), "die": (3 * de, 0), "und": (2 * de, 0)}
+    want = L.Model(["de", "en"], {(0, k): list(c) for k, c in counts.items()})
+    assert (model.scores[0] == want.scores[0]).all()
+
+
 def test_query_rows(make, odd_rows):
     docs = make([*labelled(), *[(1000 + i, t, None) for i, (_, t) in enumerate(odd_rows)]])
     out = L.identify(docs.withColumn("held_out", L.held_out()), L.fit(docs), ["doc_id", "held_out"]).collect()

@@ -6,12 +6,13 @@ relative to their mean over the languages; a document's score of a language is t
 the result is the softmax of the mean times EVIDENCE (or the number of words, if fewer).
 
 The model is fitted on a bounded sample of labelled rows: of each language about TRAIN_DOCS documents, chosen
-by a hash of doc_id, outside the held-out fifth. It keeps the MAX_WORDS most frequent words and MAX_GRAMS most
-frequent n-grams of each length, so its size doesn't grow with the corpus. Predictions see the text alone.
+by a hash of doc_id, outside the held-out fifth. Of each language it keeps the MAX_WORDS most frequent words and
+the MAX_GRAMS most frequent n-grams of each length, of those seen MIN_COUNT times in the sample, so that a frequent
+language doesn't crowd out a rare one and its size doesn't grow with the corpus. Predictions see the text alone.
 
 Defined results: null or letterless text is `und` with score 0; so is every text if no row is labelled; ties between
-languages go to the first in order; repeated rows are judged each; an empty table gives an empty result; other
-input columns are ignored or, in `identify`, kept.
+languages go to the first in order; repeated rows are judged each; an empty table gives an empty result; a very long
+text is read whole, its distinct words in slices; other input columns are ignored or, in `identify`, kept.
 """
 
 from __future__ import annotations
@@ -22,14 +23,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import read_table
+from .common import discard, read_table, written
 
+#: Bounds of the fitted model, all for each language: documents of the sample, words, n-grams of a length.
 TRAIN_DOCS = 2_000
 MAX_WORDS = 40_000
 MAX_GRAMS = 10_000
+#: Times a word or n-gram must be seen in the sample, over all languages.
+MIN_COUNT = 2
 LONGEST = 5
 EVIDENCE = 20
 #: Words whose scores a worker keeps.
@@ -140,15 +144,17 @@ def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> Model:
             )
 
     counts = sample.mapInArrow(count, "lang string, n int, key string, c long")
-    by_key = counts.groupBy("n", "key").pivot("lang", langs).agg(F.sum("c")).fillna(0)
-    total = sum((F.col(f"`{x}`") for x in langs), F.lit(0))
+    place = F.create_map(*[x for i, lang in enumerate(langs) for x in (F.lit(lang), F.lit(i))])[F.col("lang")].alias("l")
+    by_lang = written(counts.groupBy("n", "key", place).agg(F.sum("c").alias("c")), "gram-counts")
+    seen = by_lang.withColumn("total", F.sum("c").over(Window.partitionBy("n", "key"))).filter(F.col("total") >= MIN_COUNT)
+    rank = F.row_number().over(Window.partitionBy("n", "l").orderBy(F.desc("c"), "key"))  # at most the sample's distinct keys of a length
+    top = seen.withColumn("rank", rank).filter(F.col("rank") <= F.when(F.col("n") == 0, MAX_WORDS).otherwise(MAX_GRAMS)).select("n", "key").distinct()
+    found = by_lang.join(top, ["n", "key"], "left_semi").select("n", "key", "l", "c").toArrow()
+    discard(by_lang)
     table: dict[tuple[int, str], list[int]] = {}
-    by_key = by_key.select("n", "key", F.array(*[F.col(f"`{x}`") for x in langs]).alias("c"), total.alias("total")).filter(F.col("total") >= 2)
-    by_key = by_key.persist()
-    for n in range(LONGEST + 1):  # bounded: the most frequent keys of each length
-        top = by_key.filter(F.col("n") == n).orderBy(F.desc("total"), "key").limit(MAX_GRAMS if n else MAX_WORDS)
-        table |= {(n, r["key"]): list(r["c"]) for r in top.select("key", "c").collect()}
-    by_key.unpersist()
+    for batch in found.to_batches(max_chunksize=10_000):
+        for n, key, lang, c in zip(*(column.to_pylist() for column in batch.columns)):
+            table.setdefault((n, key), [0] * len(langs))[lang] = c
     return Model(langs, table)
 
 
