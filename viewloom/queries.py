@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import json
 import tempfile
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -71,11 +73,7 @@ ID = col("id", "id", "id")
 
 
 def _all_resources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kinds = ("Patient", "Organization", "Questionnaire")
-    out = _source(kinds[0])(spark, sf_dir)
-    for k in kinds[1:]:
-        out = out.unionByName(_source(k)(spark, sf_dir))
-    return out
+    return reduce(DataFrame.unionByName, (_source(k)(spark, sf_dir) for k in BUILDERS))
 
 
 def scan_filter_type(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -201,6 +199,12 @@ register(
     "FROM customer JOIN nation ON c_nationkey = n_nationkey)",
 )
 
+register(
+    "foreach_where_false",
+    view("Patient", cols(ID), cols(col("use", "use", "code"), forEachOrNull="name.where(false)")),
+    "SELECT CAST(c_custkey AS VARCHAR) AS id, CAST(NULL AS VARCHAR) AS use FROM customer",
+)
+
 # --- unions ------------------------------------------------------------------------------------------
 
 _PHONES = (
@@ -271,6 +275,12 @@ register(
     f"SELECT CAST(r_regionkey AS VARCHAR) AS id, link AS v FROM ({_TREE}) UNION ALL SELECT CAST(r_regionkey AS VARCHAR), label FROM ({_TREE})",
 )
 
+register(
+    "repeat_twice",
+    view("Questionnaire", cols(ID), cols(col("a", "linkId", "string"), repeat=["item"]), cols(col("b", "linkId", "string"), repeat=["item"])),
+    f"SELECT CAST(x.r_regionkey AS VARCHAR) AS id, x.link AS a, y.link AS b FROM ({_TREE}) x JOIN ({_TREE}) y ON x.r_regionkey = y.r_regionkey",
+)
+
 # --- functions ---------------------------------------------------------------------------------------
 
 
@@ -373,6 +383,11 @@ _patient("literal_empty", "({}).exists()", "boolean", "false")
 _patient("delimited_name", "`gender` = 'male'", "boolean", "CASE c_custkey % 3 WHEN 0 THEN true WHEN 1 THEN false END")
 _patient("constant_resource", "%resource.gender", "string", "CASE c_custkey % 3 WHEN 0 THEN 'male' WHEN 1 THEN 'female' END")
 _patient("root_where", "where(gender = 'male')", "boolean", "CASE c_custkey % 3 WHEN 0 THEN true WHEN 1 THEN false END")
+_patient("op_equivalence", "gender ~ 'male'", "boolean", "CASE c_custkey % 3 WHEN 0 THEN true WHEN 1 THEN false END")
+_patient("op_not_equivalent", "gender !~ 'male'", "boolean", "CASE c_custkey % 3 WHEN 0 THEN false WHEN 1 THEN true END")
+_patient("literal_quantity", "balance > 5000 'USD'", "boolean", "CAST(c_acctbal AS DECIMAL(18,2)) > 5000")
+_patient("literal_long", "multipleBirth.ofType(integer) * 5000000000L", "integer64", "CASE WHEN c_custkey % 2 = 0 THEN (c_custkey % 5) * 5000000000 END")
+_patient("literal_dates", "birthDate >= @1970-02", "boolean", "c_custkey % 3 <> 0")
 _patient("op_equality_of_collections", "name.use = 'official'", "boolean", "c_custkey % 2 <> 0")
 _patient("op_arith_large", "balance + 1234567890123.5", "string", _TRIM_MONEY)
 _patient("op_inequality", "gender != 'male'", "boolean", "CASE c_custkey % 3 WHEN 0 THEN false WHEN 1 THEN true END")
@@ -409,7 +424,7 @@ SQL["turns_by_sender"] = "SELECT 'Group/' || conv_id AS conversation, 'Practitio
 
 
 def load_export_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Resources written as NDJSON, loaded into a partitioned table, and read back by type."""
+    """Resources of all kinds in a partitioned table, exported by all tasks, and read back by type."""
     from .sources.export import export_dataset, reread
     from .sources.table import ResourceTable
 
@@ -432,9 +447,12 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 QUERIES["load_export_roundtrip"] = load_export_roundtrip
-SQL["load_export_roundtrip"] = (
-    "SELECT 'Patient' AS resource_type, count(*) AS n, count(DISTINCT c_custkey) AS ids FROM customer UNION ALL SELECT 'Organization', count(*), count(DISTINCT s_suppkey) FROM supplier UNION ALL SELECT 'Questionnaire', count(*), count(DISTINCT r_regionkey) FROM region"
-)
+#: Kind, key and table of the documents that BUILDERS make.
+_KINDS = [
+    ("Patient", "c_custkey", "customer"), ("Organization", "s_suppkey", "supplier"), ("Claim", "o_orderkey", "orders"), ("Observation", "event_id", "events"),
+    ("Communication", "conv_id || '-' || turn", "conversations"), ("Questionnaire", "r_regionkey", "region"), ("DocumentReference", "d.doc_id", "documents d LEFT JOIN labels l ON d.doc_id = l.doc_id"),
+]
+SQL["load_export_roundtrip"] = " UNION ALL ".join(f"SELECT '{kind}' AS resource_type, count(*) AS n, count(DISTINCT {key}) AS ids FROM {table}" for kind, key, table in _KINDS)
 
 
 def ndjson_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -457,13 +475,179 @@ def ndjson_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["ndjson_roundtrip"] = ndjson_roundtrip
-SQL["ndjson_roundtrip"] = " UNION ALL ".join(
-    f"SELECT '{kind}' AS resource_type, count(*) AS n, count(DISTINCT {key}) AS ids, count(*) AS same FROM {table}"
-    for kind, key, table in [
-        ("Patient", "c_custkey", "customer"), ("Organization", "s_suppkey", "supplier"), ("Claim", "o_orderkey", "orders"), ("Observation", "event_id", "events"),
-        ("Communication", "conv_id || '-' || turn", "conversations"), ("Questionnaire", "r_regionkey", "region"), ("DocumentReference", "d.doc_id", "documents d LEFT JOIN labels l ON d.doc_id = l.doc_id"),
-    ]
-)
+SQL["ndjson_roundtrip"] = " UNION ALL ".join(f"SELECT '{kind}' AS resource_type, count(*) AS n, count(DISTINCT {key}) AS ids, count(*) AS same FROM {table}" for kind, key, table in _KINDS)
+
+
+def _exported(spark: SparkSession, *resources: DataFrame) -> str:
+    """A new folder whose `files` are the NDJSON files of the resources."""
+    from .sources.export import export_ndjson
+
+    folder = f"{shared_folder(spark)}/files-{uuid.uuid4().hex}"
+    for r in resources:
+        export_ndjson(r, f"{folder}/files".removeprefix("file://"))
+    return folder
+
+
+def _with_bad_lines(spark: SparkSession, sf_dir: str) -> str:
+    """Files of patients, a tenth of whose lines lack the last brace, and of organizations, whose lines are all good."""
+    patients = _source("Patient")(spark, sf_dir)
+    cut = F.expr("left(json, length(json) - 1)")
+    return _exported(spark, patients.withColumn("json", F.when(F.get_json_object("json", "$.id").cast("long") % 10 == 0, cut).otherwise(F.col("json"))), _source("Organization")(spark, sf_dir))
+
+
+def _by_type(spark: SparkSession, path: str) -> DataFrame:
+    from .sources.table import ResourceTable
+
+    return ResourceTable(spark, path).read().groupBy("resource_type").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("id").alias("ids"))
+
+
+def _made(spark: SparkSession, folder: str, rows: list, schema: str) -> DataFrame:
+    """The few rows of a report, whose files are no longer needed."""
+    from .sources.files import Files
+
+    Files(spark).delete(folder)
+    return spark.createDataFrame(rows, schema)
+
+
+def load_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files with bad lines, of which the good ones are loaded: what the load reports, and the rows that are there."""
+    from .sources.load import load_ndjson
+
+    folder = _with_bad_lines(spark, sf_dir)
+    done = load_ndjson(spark, f"{folder}/files", f"{folder}/table", continue_on_error=True)
+    there = {r["resource_type"]: (r["n"], r["ids"]) for r in _by_type(spark, f"{folder}/table").collect()}
+    rows = [(f.resource_type, f.rows_loaded, f.rows_failed, len(f.errors), done.failed, *there[f.resource_type]) for f in done.files]
+    return _made(spark, folder, rows, "resource_type string, loaded long, bad long, errors int, failed boolean, n long, ids long")
+
+
+QUERIES["load_salvage"] = load_salvage
+SQL["load_salvage"] = (
+    "SELECT 'Patient' AS resource_type, count_if(c_custkey % 10 <> 0) AS loaded, count_if(c_custkey % 10 = 0) AS bad, CAST(1 AS INTEGER) AS errors, true AS failed, count_if(c_custkey % 10 <> 0) AS n, count_if(c_custkey % 10 <> 0) AS ids FROM customer "
+    "UNION ALL SELECT 'Organization', count(*), 0, 0, true, count(*), count(*) FROM supplier"
+)
+
+
+def load_whole_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Without salvage, a file with a bad line is left out as a whole."""
+    from .sources.load import load_ndjson
+
+    folder = _with_bad_lines(spark, sf_dir)
+    load_ndjson(spark, f"{folder}/files", f"{folder}/table")
+    return _made(spark, folder, _by_type(spark, f"{folder}/table").collect(), "resource_type string, n long, ids long")
+
+
+QUERIES["load_whole_files"] = load_whole_files
+SQL["load_whole_files"] = "SELECT 'Organization' AS resource_type, count(*) AS n, count(*) AS ids FROM supplier"
+
+
+def load_again(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A load into a new table, a second one that appends, and one that truncates first; before them a dry run, which writes nothing."""
+    from .sources.load import load_ndjson
+    from .sources.table import ResourceTable
+
+    folder = _exported(spark, _source("Organization")(spark, sf_dir), _source("Questionnaire")(spark, sf_dir))
+    files, table = f"{folder}/files", f"{folder}/table"
+    dry = load_ndjson(spark, files, table, dry_run=True)
+    rows = [("dry run", f.resource_type, f.rows_loaded) for f in dry.files if not ResourceTable(spark, table).exists()]
+    for step, options in [("new", {}), ("append", {"create_table": False}), ("one type", {"resource_type": "Organization"}), ("truncate", {"truncate": True})]:
+        load_ndjson(spark, files, table, **options)
+        rows += [(step, r["resource_type"], r["ids"]) for r in _by_type(spark, table).collect()]
+    return _made(spark, folder, rows, "step string, resource_type string, n long")
+
+
+QUERIES["load_again"] = load_again
+SQL["load_again"] = " UNION ALL ".join(
+    f"SELECT '{step}' AS step, '{kind}' AS resource_type, {times} * count(*) AS n FROM {table}"
+    for kind, table, counts in [("Organization", "supplier", (1, 1, 2, 3, 1)), ("Questionnaire", "region", (1, 1, 2, 2, 1))]
+    for step, times in zip(("dry run", "new", "append", "one type", "truncate"), counts)
+)
+
+
+def load_into_variant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A load as VARIANT; a later load as STRING warns and keeps the table's type. The table's types are listed, and a view runs over it."""
+    from .sources.export import resource_types
+    from .sources.load import load_ndjson
+    from .sources.table import ResourceTable
+
+    folder = _exported(spark, _source("Organization")(spark, sf_dir))
+    table = ResourceTable(spark, f"{folder}/table")
+    load_ndjson(spark, f"{folder}/files", table.path, json_data_type="JSON")
+    warnings = load_ndjson(spark, f"{folder}/files", table.path, json_data_type="STRING").warnings
+    rows = ViewEngine(spark).run(view("Organization", cols(ID, col("city", "address.city"))), table.read())
+    return rows.select("id", "city", F.lit(table.json_type()).alias("type"), F.lit(len(warnings)).alias("warnings"), F.lit(",".join(resource_types(table.read()))).alias("types"))
+
+
+QUERIES["load_into_variant"] = load_into_variant
+SQL["load_into_variant"] = (
+    "SELECT CAST(s_suppkey AS VARCHAR) AS id, n_name AS city, 'VARIANT' AS type, CAST(1 AS INTEGER) AS warnings, 'Organization' AS types FROM supplier JOIN nation ON s_nationkey = n_nationkey, (VALUES (1), (2)) v(i)"
+)
+
+
+def export_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The exported files' lines, numbered as they stand there: in order of the table's ids, each once, the last one ended too."""
+    folder = _exported(spark, _all_resources(spark, sf_dir).filter(F.col("resource_type").isin("Organization", "Patient")))
+    rows = []
+    for kind in ("Organization", "Patient"):
+        with open(f"{folder}/files/{kind}.ndjson".removeprefix("file://"), encoding="utf-8", newline="") as f:
+            last, n, ordered = -1, 0, True
+            for line in f:  # one line at a time
+                at = int(json.loads(line)["id"])
+                last, n, ordered = at, n + 1, ordered and at > last and line.endswith("}\n")
+            rows.append((kind, n, last, ordered))
+    return _made(spark, folder, rows, "resource_type string, n long, last_id long, ordered boolean")
+
+
+QUERIES["export_order"] = export_order
+SQL["export_order"] = "SELECT 'Patient' AS resource_type, count(*) AS n, max(c_custkey) AS last_id, true AS ordered FROM customer UNION ALL SELECT 'Organization', count(*), max(s_suppkey), true FROM supplier"
+
+
+def streamed_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A view over a stream of NDJSON files, written as it comes and read back."""
+    from .streaming import ndjson_stream, stream_view
+
+    folder = _exported(spark, _source("Patient")(spark, sf_dir), _source("Organization")(spark, sf_dir))
+    rows = stream_view(ndjson_stream(spark, f"{folder}/files"), view("Patient", cols(ID), cols(col("use", "use", "code"), col("family", "family"), forEach="name")))
+    run = rows.writeStream.format("parquet").option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).start()
+    run.awaitTermination()
+    return spark.read.parquet(f"{folder}/rows")
+
+
+QUERIES["streamed_view"] = streamed_view
+SQL["streamed_view"] = (
+    "SELECT CAST(c_custkey AS VARCHAR) AS id, use, CASE use WHEN 'official' THEN c_name ELSE n_name END AS family FROM customer JOIN nation ON c_nationkey = n_nationkey, (VALUES ('official'), ('usual')) u(use) "
+    "WHERE use = 'official' OR c_custkey % 2 = 0"
+)
+
+
+def filter_by_test(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table shared by several tests: a view sees one test's resources only."""
+    resources = _source("Patient")(spark, sf_dir).withColumn("test_id", F.concat(F.lit("test-"), F.col("id") % 4))
+    return ViewEngine(spark).run(view("Patient", cols(ID, col("gender", "gender", "code"))), resources, test_id="test-1")
+
+
+QUERIES["filter_by_test"] = filter_by_test
+SQL["filter_by_test"] = "SELECT CAST(c_custkey AS VARCHAR) AS id, CASE c_custkey % 3 WHEN 0 THEN 'male' WHEN 1 THEN 'female' END AS gender FROM customer WHERE c_custkey % 4 = 1"
+
+# Paths and table names that must be errors, not columns of no values.
+_REJECTED = ["birthDate.lowBoundary(4)", "birthDate.highBoundary(4)", "name.repeat(given)", "%unknown", "gender.", "where(", "name.first(1)", "'open"]
+
+
+def rejected_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paths that aren't supported, or no paths at all, are errors before anything runs."""
+    from .errors import FhirPathError
+
+    rows = []
+    for path in _REJECTED:
+        try:
+            ViewEngine(spark).transpile(view("Patient", cols(col("v", path))))
+            rows.append((path, False))
+        except FhirPathError:
+            rows.append((path, True))
+    return spark.createDataFrame(rows, "path string, rejected boolean")
+
+
+QUERIES["rejected_paths"] = rejected_paths
+SQL["rejected_paths"] = " UNION ALL ".join("SELECT '{}' AS path, true AS rejected".format(path.replace("'", "''")) for path in _REJECTED)
 
 
 def variant_storage(spark: SparkSession, sf_dir: str) -> DataFrame:
