@@ -133,6 +133,16 @@ def test_deduplicate(make, odd_rows):
     assert ids == sorted((d or -1, (t or "")[:13]) for d, t in [rows[0], rows[1], rows[2], rows[3], rows[4], rows[7], rows[8], rows[9], rows[10], rows[11], rows[12], rows[13]])
 
 
+def test_equal_rows_meet_once(make):
+    """Many rows with one text, with null ids and with one id: one stays; rows without words all stay."""
+    same = prose(9, 40)
+    rows = [(None, same)] * 200 + [(7, same)] * 200 + [(8, same + " end")] + [(9, " \t")] * 3 + [(None, None)] * 2
+    kept = J.deduplicate(make(rows, 7))
+    assert sorted((r["doc_id"] or -1, r["text"] or "") for r in kept.collect()) == [(-1, ""), (-1, ""), (7, same), (9, " \t"), (9, " \t"), (9, " \t")]
+    only_null = J.deduplicate(make([(None, same)] * 20)).collect()
+    assert [(r["doc_id"], r["text"]) for r in only_null] == [(None, same)]
+
+
 def test_connected_components(spark):
     r = random.Random(4)
     pairs = [(i, i + 1) for i in range(100, 160)] + [(0, i) for i in range(1, 40)] + [(r.randrange(200, 260), r.randrange(200, 260)) for _ in range(40)] + [(5, 5)]

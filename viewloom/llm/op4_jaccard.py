@@ -41,7 +41,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import arrow_map, discard, marked, read_table, written
@@ -418,19 +418,25 @@ def classes(docs: DataFrame) -> DataFrame:
     return nodes.join(named, "node", "left").select("doc_id", "text_hash", "n", "class", F.coalesce("c", "doc_id").alias("component_id"))
 
 
+def _row_key(doc_id: str, text_hash) -> list:
+    """What tells documents apart, as columns that equal each other where the documents do: a null id is one of them."""
+    return [F.col(doc_id).isNull().alias("_null"), F.coalesce(F.col(doc_id).cast("string"), F.lit("")).alias("_id"), text_hash.alias("_hash")]
+
+
 def deduplicate(docs: DataFrame) -> DataFrame:
-    """docs with one row of each class: the smallest doc_id's (null ids last), then by text. Empty sets all stay."""
-    found = classes(docs)
+    """docs with one row of each class: the smallest doc_id's (null ids last), then by text. Rows without words all stay.
+
+    Rows that are equal in id and text are copies too. They are combined before they are shuffled, by the key of the join that
+    follows, so a row's text is shuffled once, and however many equal rows there are, a task sends one.
+    """
     first = F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "text_hash")).alias("r")
-    reps = found.filter(F.col("class").isNotNull()).groupBy("class").agg(first)
-    empty = found.filter(F.col("class").isNull()).select("doc_id", "text_hash").distinct().withColumn("_one", F.lit(False))
-    kept = reps.select("r.doc_id", "r.text_hash", F.lit(True).alias("_one")).union(empty)
-    kept = kept.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "_one")
-    keyed = docs.withColumn("_h", F.xxhash64("text"))
-    out = keyed.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_hash")))
-    # Rows that are equal in id and text are copies too: the first one stays.
-    again = F.row_number().over(Window.partitionBy("_id", "_hash").orderBy("_hash"))
-    return out.withColumn("_rn", again).filter((F.col("_rn") == 1) | ~F.col("_one")).select(*docs.columns)
+    reps = classes(docs).filter(F.col("class").isNotNull()).groupBy("class").agg(first)
+    kept = reps.select("r.*").select(*_row_key("doc_id", F.col("text_hash")))
+    has_words = F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    rows = docs.filter(has_words).select(*_row_key("doc_id", F.xxhash64("text")), F.struct(*docs.columns).alias("_row"))
+    one = rows.groupBy("_null", "_id", "_hash").agg(F.first("_row").alias("_row"))
+    out = one.join(kept, ["_null", "_id", "_hash"]).select("_row.*")
+    return out.union(docs.filter(~has_words))
 
 
 def join(docs: DataFrame) -> DataFrame:
