@@ -14,7 +14,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from viewloom.llm import op3_langid, op4_jaccard, op5_secrets, op7_decontam, op9_packing
-from viewloom.llm.common import read_table, shared_dir
+from viewloom.llm.common import discard, read_table, shared_dir
 
 MIN_SCORE = 0.5
 SECRET = "[SECRET]"
@@ -53,11 +53,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies the stages to `documents`."""
+    """Applies the stages to `documents`. A stage's rows are deleted as soon as the next one's are written; the last one's stay."""
     docs = read_table(spark, sf_dir, "documents")
     folder = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     for i, (name, stage) in enumerate(STAGES):
         out = stage(spark, docs, sf_dir)
         out.write.parquet(f"{folder}/{i}-{name}")
+        if i:
+            discard(docs)  # the stage before has served
         docs = spark.read.parquet(f"{folder}/{i}-{name}")
     return docs
