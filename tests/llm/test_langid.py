@@ -1,7 +1,10 @@
 from __future__ import annotations
 
+import math
 import os
+import re
 import zlib
+from collections import Counter
 
 import pytest
 
@@ -41,6 +44,60 @@ def test_held_out_rows_are_never_learned_from(make):
     assert L.fit(make(rows)).langs == ["en"]
 
 
+def brute_model(rows):
+    """Counts of all labelled rows outside the held-out fifth, and the score of a word by backoff, in plain Python."""
+    learned = [(t, x) for i, t, x in rows if x is not None and zlib.crc32(str(i).encode()) % 5]
+    langs = sorted({x for _, x in learned})
+    counts = {}
+    for text, lang in learned:
+        for w in re.findall(r"[^\W\d_]+", (text or "").lower()):
+            keys = [(0, w)] + [(n, f"^{w}$"[i : i + n]) for n in range(1, 6) for i in range(len(w) + 3 - n)]
+            for k in keys:
+                counts.setdefault(k, Counter())[lang] += 1
+    counts = {k: c for k, c in counts.items() if sum(c.values()) >= 2}
+    totals = {(n, x): sum(c[x] for (m, _), c in counts.items() if m == n) + 0.1 * max(1, sum(m == n for m, _ in counts)) for n in range(6) for x in langs}
+
+    def relative(key):
+        logs = [math.log((counts[key][x] + 0.1) / totals[key[0], x]) for x in langs]
+        return [v - sum(logs) / len(logs) for v in logs]
+
+    def word(w):
+        if (0, w) in counts:
+            return relative((0, w))
+        for n in range(5, 0, -1):
+            known = [relative((n, g)) for i in range(len(w) + 3 - n) if (n, g := f"^{w}$"[i : i + n]) in counts]
+            if known:
+                return [sum(v) / len(known) for v in zip(*known)]
+        return [0.0] * len(langs)
+
+    def predict(text):
+        words = re.findall(r"[^\W\d_]+", (text or "").lower())
+        if not words:
+            return L.UND, 0.0
+        mean = [sum(v) / len(words) for v in zip(*map(word, words))]
+        z = [v * min(len(words), 20) for v in mean]
+        p = [math.exp(v - max(z)) for v in z]
+        return langs[p.index(max(p))], max(p) / sum(p)
+
+    return predict
+
+
+def test_predictions_by_brute_force(make, monkeypatch):
+    """Also with counts handed on after every batch, and with room for one word's scores."""
+    monkeypatch.setattr(L, "TRAIN_DOCS", 10_000)
+    rows = [*labelled(), (500, "unseen hundehaus catdog lechat", "en"), (501, "123", "fr"), (502, None, "de"), (503, "wohnung the le", None)]
+    predict = brute_model(rows)
+    for keys, scores in ((100_000, 1_000_000), (1, 1)):
+        monkeypatch.setattr(L, "TASK_KEYS", keys)
+        monkeypatch.setattr(L, "CACHE_SCORES", scores)
+        model = L.fit(make(rows), 10_000)
+        score = L.Scorer(model)
+        for _, text, _ in rows + [(0, "zug nach xylophon", None), (0, "Ünïcode 日本語 q", None)]:
+            lang, p = predict(text)
+            got = score(text)
+            assert got[0] == lang and abs(got[1] - p) < 1e-3, text
+
+
 def test_bounds_are_of_each_language(make, monkeypatch):
     monkeypatch.setattr(L, "MAX_WORDS", 2)
     monkeypatch.setattr(L, "TRAIN_DOCS", 10_000)

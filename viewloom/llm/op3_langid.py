@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import discard, read_table, written
+from .common import arrow_map, discard, read_table, written
 
 #: Bounds of the fitted model, all for each language: documents of the sample, words, n-grams of a length.
 TRAIN_DOCS = 2_000
@@ -36,8 +36,10 @@ MAX_GRAMS = 10_000
 MIN_COUNT = 2
 LONGEST = 5
 EVIDENCE = 20
-#: Words whose scores a worker keeps.
-CACHE_WORDS = 200_000
+#: Scores that a worker keeps: so many words, times languages.
+CACHE_SCORES = 1_000_000
+#: Words and n-grams that a task counts before it hands its counts on.
+TASK_KEYS = 100_000
 UND = "und"
 
 _WORD = re.compile(r"[^\W\d_]+")
@@ -83,12 +85,13 @@ class Model:
 
 
 class Scorer:
-    """Applies a model to texts; keeps the scores of up to CACHE_WORDS words."""
+    """Applies a model to texts; keeps up to CACHE_SCORES scores of words."""
 
     def __init__(self, model: Model):
         self.model = model
         self.rows: dict[str, int] = {}
-        self.matrix = np.zeros((CACHE_WORDS, max(1, len(model.langs))), np.float32)
+        self.most = max(1, CACHE_SCORES // max(1, len(model.langs)))
+        self.matrix = np.zeros((self.most, max(1, len(model.langs))), np.float32)
 
     def __call__(self, text: str | None) -> tuple[str, float]:
         counts = Counter(words_of(text))
@@ -96,16 +99,17 @@ class Scorer:
             return UND, 0.0
         rows, total = self.rows, np.zeros(len(self.model.langs))
         words, times = list(counts), np.fromiter(counts.values(), float, len(counts))
-        for lo in range(0, len(words), 50_000):
-            part = words[lo : lo + 50_000]
+        step = min(self.most, 50_000)
+        for lo in range(0, len(words), step):
+            part = words[lo : lo + step]
             new = [w for w in part if w not in rows]
-            if len(rows) + len(new) > CACHE_WORDS:
+            if len(rows) + len(new) > self.most:
                 rows.clear()
                 new = part
             for w in new:
                 self.matrix[len(rows)] = self.model.word(w)
                 rows[w] = len(rows)
-            total += times[lo : lo + 50_000] @ self.matrix[[rows[w] for w in part]]
+            total += times[lo : lo + step] @ self.matrix[[rows[w] for w in part]]
         n = times.sum()
         z = total / n * min(n, EVIDENCE)
         p = np.exp(z - z.max())
@@ -126,24 +130,32 @@ def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> Model:
     sample = labelled.join(F.broadcast(share), "lang").filter(draw < F.col("_share")).select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[str, list[Counter]] = {}
+
+        def rows() -> pa.RecordBatch:
+            cols = list(zip(*((x, n, k, c) for x, own in found.items() for n in range(LONGEST + 1) for k, c in own[n].items()))) or [()] * 4
+            return pa.RecordBatch.from_arrays(
+                [pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.string()), pa.array(cols[3], pa.int64())],
+                names=["lang", "n", "key", "c"],
+            )
+
         for batch in batches:
-            found: dict[str, list[Counter]] = {}
+            words: dict[str, Counter] = {}
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
+                words.setdefault(lang, Counter()).update(words_of(text))
+            for lang, times in words.items():
                 own = found.setdefault(lang, [Counter() for _ in range(LONGEST + 1)])
-                own[0].update(words_of(text))
-            for own in found.values():
-                for w, c in own[0].items():
+                for w, c in times.items():
+                    own[0][w] += c
                     for n in range(1, LONGEST + 1):
                         for g in grams_of(w, n):
                             own[n][g] += c
-            rows = [(x, n, k, c) for x, own in found.items() for n in range(LONGEST + 1) for k, c in own[n].items()]
-            cols = list(zip(*rows)) or [()] * 4
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.string()), pa.array(cols[3], pa.int64())],
-                names=["lang", "n", "key", "c"],
-            )
+            if sum(len(x) for own in found.values() for x in own) > TASK_KEYS:
+                yield rows()
+                found.clear()
+        yield rows()
 
-    counts = sample.mapInArrow(count, "lang string, n int, key string, c long")
+    counts = arrow_map(sample, count, "lang string, n int, key string, c long")
     place = F.create_map(*[x for i, lang in enumerate(langs) for x in (F.lit(lang), F.lit(i))])[F.col("lang")].alias("l")
     by_lang = written(counts.groupBy("n", "key", place).agg(F.sum("c").alias("c")), "gram-counts")
     seen = by_lang.withColumn("total", F.sum("c").over(Window.partitionBy("n", "key"))).filter(F.col("total") >= MIN_COUNT)
@@ -172,7 +184,7 @@ def identify(docs: DataFrame, model: Model, keep: list[str] | None = None) -> Da
     from pyspark.sql import types as T
 
     schema = T.StructType([*(docs.schema[c] for c in keep), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    return docs.select(*keep, F.col("text").alias("_text")).mapInArrow(run, schema)
+    return arrow_map(docs.select(*keep, F.col("text").alias("_text")), run, schema)
 
 
 def keep_identified(docs: DataFrame, model: Model, min_score: float) -> DataFrame:
@@ -186,7 +198,7 @@ def keep_identified(docs: DataFrame, model: Model, min_score: float) -> DataFram
             keep = [i for i, (x, p) in enumerate(found) if x != UND and p >= min_score]
             yield batch.take(pa.array(keep, pa.int64()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return arrow_map(docs, run, docs.schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
