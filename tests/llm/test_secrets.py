@@ -3,6 +3,7 @@ from __future__ import annotations
 import hashlib
 import os
 import re
+import string
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -28,6 +29,56 @@ def test_base_spans_are_those_of_the_patterns(text):
     assert [x for x in S.secrets(text) if x[0] in S.BASE_KINDS] == naive(text)
 
 
+def runs(text, prefix, letters, least):
+    """Leftmost spans that don't overlap, of a prefix and at least so many letters, by trying every place."""
+    out, at = [], 0
+    while at < len(text):
+        end = at + len(prefix)
+        if text.startswith(prefix, at):
+            while end < len(text) and text[end] in letters:
+                end += 1
+            if end - at - len(prefix) >= least:
+                out.append((at, end))
+                at = end
+                continue
+        at += 1
+    return out
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from(["ghp_", "ghs_", "gh", "_", "a1B2" * 9, "xyz", "-", " ", "é", "AKIA"]), max_size=12).map("".join))
+def test_added_tokens_by_brute_force(text):
+    letters = string.ascii_letters + string.digits
+    want = sorted(x for c in "pousr" for x in runs(text, f"gh{c}_", letters, 36))
+    assert [x[1:] for x in S.secrets(text) if x[0] == "github"] == want
+
+
+JWT_PARTS = ["eyJ", "eyJabcdefgh", "eyJ-_345678", ".", "sig_-5678", "short", " ", "é"]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(JWT_PARTS), max_size=12).map("".join))
+def test_added_web_tokens_by_brute_force(text):
+    """Runs of token letters joined by single dots: the first three that fit, from every place on."""
+    letters = set(string.ascii_letters + string.digits + "_-")
+    want, at = [], 0
+    while at < len(text):
+        end, found = at, True
+        for i, prefix in enumerate(("eyJ", "eyJ", "")):
+            found = found and text.startswith(prefix, end)
+            begin = end = end + len(prefix)
+            while found and end < len(text) and text[end] in letters:
+                end += 1
+            found = found and end - begin >= 8
+            if i < 2:
+                found = found and text.startswith(".", end)
+                end += 1
+        if found:
+            want.append((at, end))
+        at = end if found else at + 1
+    assert [x[1:] for x in S.secrets(text) if x[0] == "jwt"] == want
+
+
 def test_formats():
     text = "-----BEGIN RSA PRIVATE KEY-----\nAAAA\n-----END RSA PRIVATE KEY----- ghp_" + "a1B2" * 9 + " eyJhbGciOiJI.eyJzdWIiOiIx.c2lnbmF0dXJl"
     assert [k for k, _, _ in S.secrets(text)] == ["pem", "github", "jwt"]
