@@ -74,3 +74,28 @@ def test_wrapped_notices(make):
     texts = [MIT, GPL, "First.\n\n" + GPL + "\n\t\nReleased under the MIT\nLicense.\n", "Released under\n\nthe MIT License", prose(3, 4000) + "\n" + MIT + "\n" + prose(4, 3000)]
     out = {r["doc_id"]: r["notices"] for r in L.scan(make(list(enumerate(texts)))).collect()}
     assert out == {0: "0:mit", 1: "0:gpl", 2: "1:gpl,2:mit", 3: "", 4: "0:mit"}
+
+
+# Parts of templates without any word that names a licence, software or a right.
+PLAIN = [
+    ("list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution", "bsd"),
+    ("and/or other materials provided with the distribution", "bsd"), ("Anyone is free to copy, modify, publish, use, compile, sell, or", "unlicense"),
+]
+
+
+def test_parts_without_telling_words_are_judged(make):
+    texts = [f"{prose(7, 30)}\n\n{t}\n{prose(8, 12)}" for t, _ in PLAIN]
+    assert [L.classify(t) for t, _ in PLAIN] == [f for _, f in PLAIN]
+    out = {r["doc_id"]: r["licenses"] for r in L.scan(make(list(enumerate(texts)))).collect()}
+    assert out == dict(enumerate(f for _, f in PLAIN))
+
+
+def test_what_is_dropped_unjudged_is_never_confirmed():
+    kept = L.witnesses()
+    assert all(len(set(two) - kept) < min(L.MIN_SHARED, len(two)) for _, two in L.templates())
+    for notice in (n for ns in L.NOTICES.values() for n in ns):
+        words = notice.split()
+        parts = (words[i:j] for i in range(len(words)) for j in range(i + 3, min(len(words), i + 16) + 1))
+        for part in parts:
+            line = "\u00e9...".join(part).upper()
+            assert re.search(L.needed(), line, re.ASCII) or L.classify(line) is None, line
