@@ -173,3 +173,11 @@ def test_values_keep_their_digits(spark):
     paths += [("k.m.z.last()", None, 'x "z": 5'), ("s", "string", 'y "v": 5, "d": 1'), ("k.m.z.first()", None, "1")]
     view = {"resource": "Patient", "select": [{"column": [{"name": f"c{i}", "path": p, **({"type": t} if t else {})} for i, (p, t, _) in enumerate(paths)]}]}
     assert list(ViewEngine(spark).run(view, _patients(spark, doc)).first()) == [x for _, _, x in paths]
+
+
+def test_joined_views_are_not_broadcast(spark):
+    from viewloom.queries import QUERIES
+
+    plan = QUERIES["key_join_views"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().treeString()
+    joins = [x for x in plan.splitlines() if "Join [patient" in x]
+    assert len(joins) == 1 and "SortMergeJoin" in joins[0]
