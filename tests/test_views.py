@@ -175,6 +175,37 @@ def test_values_keep_their_digits(spark):
     assert list(ViewEngine(spark).run(view, _patients(spark, doc)).first()) == [x for _, _, x in paths]
 
 
+def test_rows_of_siblings_are_built_once(spark):
+    select = [
+        {"column": [{"name": "id", "path": "id"}]}, {"repeat": ["item"], "column": [{"name": "a", "path": "linkId"}, {"name": "i", "path": "%rowIndex", "type": "integer"}]},
+        {"forEachOrNull": "code", "column": [{"name": "c", "path": "$this"}, {"name": "j", "path": "$total", "type": "integer"}]}, {"repeat": ["item"], "column": [{"name": "b", "path": "linkId"}]},
+    ]
+    view = {"resource": "Patient", "select": select}
+    lines = [x for x in ViewEngine().transpile(view).sql.splitlines() if x.startswith("LATERAL VIEW")]
+    first = next(k for k, x in enumerate(lines) if "explode(array(" not in x)
+    assert first == 3 and not any("transform(" in x for x in lines[first:])
+
+    def tree(depth, name):
+        return [{"linkId": f"{name}{k}", **({"item": tree(depth - 1, f"{name}{k}")} if depth else {})} for k in range(2)]
+
+    def links(items):
+        return [y for x in items for y in [x["linkId"], *links(x.get("item", []))]]
+
+    docs = [{"id": "x", "item": tree(2, "n"), "code": ["u", "v"]}, {"id": "y", "item": tree(0, "m")}, {"id": "z", "code": ["w"]}]
+    want = [(d["id"], a, i, c, len(d.get("code", [])), b) for d in docs for i, a in enumerate(links(d.get("item", []))) for c in d.get("code", [None]) for b in links(d["item"])]
+    got = [tuple(r) for r in ViewEngine(spark).run(view, _patients(spark, *docs)).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str) and len(got) == 14 * 2 * 14 + 2 * 2
+
+
+def test_large_documents_are_dealt_out(spark):
+    from viewloom.sources.sample import questionnaires
+
+    def held(rows):
+        yield len(list(rows))
+
+    assert max(questionnaires(spark, "/root/testdata/sf0.001").select("id").rdd.mapPartitions(held).collect()) <= -(-5 // spark.sparkContext.defaultParallelism)
+
+
 def test_joined_views_are_not_broadcast(spark):
     from viewloom.queries import QUERIES
 

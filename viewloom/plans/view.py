@@ -172,8 +172,7 @@ class _Compiler:
             self.generators.append(f"LATERAL VIEW {outer}posexplode({items}) {g} AS {g}_i, {g}_v")
             scope = scope.element(f"{g}_v", f"coalesce({g}_i, 0)", f"size({items})", f"coalesce({g}_i, 0)")
         out = [(c.name, self.cell(c, scope)) for c in n.columns]
-        for s in n.selects:
-            out += self.node(s, scope)
+        out += self.siblings(n.selects, scope)
         if n.union_all:
             sql, names = self.union(n, scope, {})
             g = f"g{len(self.generators) + 1}"
@@ -181,7 +180,33 @@ class _Compiler:
             out += [(name, f"{g}_c{i}") for i, name in enumerate(names)]
         return out
 
-    # Rows as arrays of structs, for branches of unions.
+    def siblings(self, nodes: tuple[SelectNode, ...], scope: X.Scope) -> list[tuple[str, str]]:
+        """The columns of nodes side by side. If several of them make rows, the rows of those that only have columns are built once,
+        before any generator: below another one's rows they would be built again for each of these."""
+        ready: dict[int, tuple[str, list[str]]] = {}
+        if sum(map(_makes_rows, nodes)) > 1:
+            for k, n in enumerate(nodes):
+                if n.columns and not n.selects and not n.union_all and (n.for_each or n.for_each_or_null or n.repeat):
+                    sql, names = self.rows(n, scope, {})
+                    g = f"g{len(self.generators) + 1}"
+                    # OUTER: for other generators the optimizer adds a filter that builds the array once more.
+                    self.generators.append(f"LATERAL VIEW OUTER explode(array({sql})) {g} AS {g}_r")
+                    ready[k] = f"{g}_r", names
+        out: list[tuple[str, str]] = []
+        for k, n in enumerate(nodes):
+            if k not in ready:
+                out += self.node(n, scope)
+                continue
+            array, names = ready[k]
+            # A fold that returns the array as it is: with a bare column the generators are compiled together into one loop, which
+            # keeps the whole cross product of a document in memory; so rows are made one at a time.
+            x, y = N.fresh(), N.fresh()
+            g = f"g{len(self.generators) + 1}"
+            self.generators.append(f"LATERAL VIEW inline(aggregate(array(0), {array}, ({x}, {y}) -> {x})) {g} AS {', '.join(f'{g}_c{i}' for i in range(len(names)))}")
+            out += [(name, f"{g}_c{i}") for i, name in enumerate(names)]
+        return out
+
+    # Rows as arrays of structs, for branches of unions and for siblings.
 
     def union(self, n: SelectNode, scope: X.Scope, types: dict[str, ColumnDef]) -> rows.Rows:
         """The rows of all branches; a column has the type that types or else the first branch gives it."""
@@ -221,9 +246,7 @@ class _Compiler:
         return f"CASE {t} WHEN 'true' THEN true WHEN 'false' THEN false ELSE IF({t} IS NULL, CAST(NULL AS BOOLEAN), CAST(raise_error({message}) AS BOOLEAN)) END"
 
     def compile(self) -> CompiledView:
-        cells: list[tuple[str, str]] = []
-        for s in self.view.selects:
-            cells += self.node(s, self.scope)
+        cells = self.siblings(self.view.selects, self.scope)
         conditions = [self.condition(p) for p in self.view.where]
         t, json_column = self.table, quoted(self.table.json_column)
         if t.variant:
@@ -250,6 +273,10 @@ class _Compiler:
         return CompiledView(sql, [ColumnInfo(c.name, column_type(c), True, c.description) for c in self.view.column_defs()])
 
 
+def _makes_rows(n: SelectNode) -> bool:
+    return bool(n.for_each or n.for_each_or_null or n.repeat or n.union_all) or any(map(_makes_rows, n.selects))
+
+
 def _all(nodes: tuple[SelectNode, ...]):
     for n in nodes:
         yield n

@@ -138,7 +138,8 @@ def questionnaires(spark: SparkSession, sf_dir: str) -> DataFrame:
     leaves = s.groupBy("s_nationkey").agg(F.array_sort(F.collect_list(leaf)).alias("item"))
     nation = F.struct(F.concat(F.lit("N"), F.lpad(F.col("n_nationkey").cast("string"), 3, "0")).alias("linkId"), F.col("n_name").alias("text"), F.col("item"))
     nations = n.join(leaves, n["n_nationkey"] == leaves["s_nationkey"], "left").groupBy("n_regionkey").agg(F.array_sort(F.collect_list(nation)).alias("item"))
-    rows = r.join(nations, r["r_regionkey"] == nations["n_regionkey"], "left")
+    # Few and large documents: dealt out one by one, since a document's rows are all made in one task.
+    rows = r.join(nations, r["r_regionkey"] == nations["n_regionkey"], "left").repartition(spark.sparkContext.defaultParallelism)
     return _resources(rows, "Questionnaire", "r_regionkey", _text("r_regionkey").alias("id"), F.col("r_name").alias("title"), F.col("item"))
 
 
