@@ -197,6 +197,34 @@ def test_rows_of_siblings_are_built_once(spark):
     assert sorted(got, key=str) == sorted(want, key=str) and len(got) == 14 * 2 * 14 + 2 * 2
 
 
+def test_crossed_rows_carry_no_document(spark):
+    select = [
+        {"column": [{"name": "id", "path": "id"}]}, {"repeat": ["item"], "column": [{"name": "a", "path": "linkId"}]},
+        {"forEach": "name", "column": [{"name": "use", "path": "use"}], "select": [{"forEachOrNull": "given", "column": [{"name": "given", "path": "$this"}]}]},
+        {"column": [{"name": "code", "path": "code"}]}, {"repeat": ["item"], "column": [{"name": "b", "path": "linkId"}]},
+    ]
+    view = {"resource": "Patient", "select": select}
+    lines = ViewEngine().transpile(view).sql.splitlines()
+    last = max(k for k, x in enumerate(lines) if "_doc" in x)
+    assert "_doc" not in next(x for x in lines if x.startswith("SELECT")) and all("inline(g" in x or "explode(aggregate(array(0), g" in x for x in lines[last + 1 :])
+    assert sum("LATERAL VIEW inline(g" in x for x in lines[last + 1 :]) == 2
+
+    # Several blocks of rows, with a part left over, without, with one row left over, and none.
+    def doc(name, n, names, **more):
+        return {"id": name, "item": [{"linkId": f"{name}{k}"} for k in range(n)], "name": names, **more}
+
+    names = [{"use": "u", "given": ["x", "y"]}, {"use": "v"}]
+    docs = [doc("p", 70, names, code="c"), doc("q", 32, names), doc("r", 33, names[:1]), doc("s", 0, names), doc("t", 5, [])]
+    want = [(d["id"], x["linkId"], m["use"], g, d.get("code"), y["linkId"]) for d in docs for x in d["item"] for m in d["name"] for g in m.get("given", [None]) for y in d["item"]]
+    got = [tuple(r) for r in ViewEngine(spark).run(view, _patients(spark, *docs)).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str) and len(got) == 70**2 * 3 + 32**2 * 3 + 33**2 * 2
+    # Strictly, too, a cell is computed only for rows that there are.
+    several = [doc("t", 5, [], code=["c", "d"]), doc("s", 0, names, code=["c", "d"])]
+    assert ViewEngine(spark, strict=True).run(view, _patients(spark, *several)).collect() == []
+    with pytest.raises(Exception, match="several values"):
+        ViewEngine(spark, strict=True).run(view, _patients(spark, doc("p", 1, names, code=["c", "d"]))).collect()
+
+
 def test_large_documents_are_dealt_out(spark):
     from viewloom.sources.sample import questionnaires
 

@@ -26,3 +26,10 @@ def union(branches: list[Rows]) -> Rows:
 
 def per_element(collection: str, x: str, i: str, rows: str) -> str:
     return f"flatten(transform({collection}, ({x}, {i}) -> {rows}))"
+
+
+def blocks(rows: str, size: int) -> str:
+    """An array's elements as arrays of at most so many; NULL if there are none. The array is built once."""
+    x, y, i = fresh(), fresh(), fresh()
+    cut = f"transform(sequence(1, size({x}), {size}), {i} -> slice({x}, {i}, {size}))"
+    return f"aggregate(array(0), {rows}, ({x}, {y}) -> {x}, {x} -> CASE WHEN size({x}) > 0 THEN {cut} END)"

@@ -20,6 +20,9 @@ from ..operators import repeat, rows
 from ..types import cast_text, column_type
 from . import expressions as X
 
+#: About so many rows are held at once where rows side by side are crossed.
+BLOCK = 256
+
 
 @dataclass(frozen=True)
 class ColumnInfo:
@@ -114,6 +117,9 @@ class _Compiler:
     def __init__(self, view: ViewDefinition, table: Table, strict: bool):
         self.view, self.table, self.strict = view, table, strict
         self.generators: list[str] = []
+        #: Cells, [name, SQL], that are still to be computed above all generators; arrays whose rows are still to be crossed.
+        self.open: list[list[str]] = []
+        self.arrays: list[str] = []
         constants = {c.name: _constant(c) for c in view.constants}
         self.scope = X.Scope("_doc", resource=view.resource, lexemes=needs_lexemes(view) and not table.variant, constants=constants)
 
@@ -163,48 +169,69 @@ class _Compiler:
 
     # Rows by generators, for everything outside unions.
 
-    def node(self, n: SelectNode, scope: X.Scope) -> list[tuple[str, str]]:
-        """(name, SQL) of the columns of a node; its generators are added to the list."""
+    def node(self, n: SelectNode, scope: X.Scope) -> list[list[str]]:
+        """[name, SQL] of the columns of a node; its generators are added to the list."""
         items = self.iterated(n, scope)
         if items is not None:
             g = f"g{len(self.generators) + 1}"
             outer = "OUTER " if n.for_each_or_null else ""
             self.generators.append(f"LATERAL VIEW {outer}posexplode({items}) {g} AS {g}_i, {g}_v")
             scope = scope.element(f"{g}_v", f"coalesce({g}_i, 0)", f"size({items})", f"coalesce({g}_i, 0)")
-        out = [(c.name, self.cell(c, scope)) for c in n.columns]
+        out = [[c.name, self.cell(c, scope)] for c in n.columns]
+        self.open += out
         out += self.siblings(n.selects, scope)
         if n.union_all:
             sql, names = self.union(n, scope, {})
             g = f"g{len(self.generators) + 1}"
             self.generators.append(f"LATERAL VIEW inline({sql}) {g} AS {', '.join(f'{g}_c{i}' for i in range(len(names)))}")
-            out += [(name, f"{g}_c{i}") for i, name in enumerate(names)]
+            out += [[name, f"{g}_c{i}"] for i, name in enumerate(names)]
         return out
 
-    def siblings(self, nodes: tuple[SelectNode, ...], scope: X.Scope) -> list[tuple[str, str]]:
+    def siblings(self, nodes: tuple[SelectNode, ...], scope: X.Scope) -> list[list[str]]:
         """The columns of nodes side by side. If several of them make rows, the rows of those that only have columns are built once,
         before any generator: below another one's rows they would be built again for each of these."""
+        nested = [k for k, n in enumerate(nodes) if n.columns and not n.selects and not n.union_all and (n.for_each or n.for_each_or_null or n.repeat)]
+        if sum(map(_makes_rows, nodes)) < 2 or not nested:
+            return [c for n in nodes for c in self.node(n, scope)]
+        size = max(2, round(BLOCK ** (1 / len(nested))))
         ready: dict[int, tuple[str, list[str]]] = {}
-        if sum(map(_makes_rows, nodes)) > 1:
-            for k, n in enumerate(nodes):
-                if n.columns and not n.selects and not n.union_all and (n.for_each or n.for_each_or_null or n.repeat):
-                    sql, names = self.rows(n, scope, {})
-                    g = f"g{len(self.generators) + 1}"
-                    # OUTER: for other generators the optimizer adds a filter that builds the array once more.
-                    self.generators.append(f"LATERAL VIEW OUTER explode(array({sql})) {g} AS {g}_r")
-                    ready[k] = f"{g}_r", names
-        out: list[tuple[str, str]] = []
-        for k, n in enumerate(nodes):
-            if k not in ready:
-                out += self.node(n, scope)
-                continue
-            array, names = ready[k]
-            # A fold that returns the array as it is: with a bare column the generators are compiled together into one loop, which
-            # keeps the whole cross product of a document in memory; so rows are made one at a time.
+        for k in nested:
+            sql, names = self.rows(nodes[k], scope, {})
+            g = f"g{len(self.generators) + 1}"
+            # OUTER: for other generators the optimizer adds a filter that builds the array once more.
+            self.generators.append(f"LATERAL VIEW OUTER explode(array({rows.blocks(sql, size)})) {g} AS {g}_r")
+            ready[k] = f"{g}_r", names
+        arrays = [array for array, _ in ready.values()]
+        self.arrays += arrays
+        done = {k: self.node(n, scope) for k, n in enumerate(nodes) if k not in ready}
+        self.settle()
+        self.arrays = self.arrays[: -len(arrays)]
+        # All combinations of blocks, one at a time, by folds that return the arrays as they are: with bare columns these generators
+        # would be compiled together with the next ones into one loop, which keeps the whole cross product of a document in memory.
+        for k, (array, names) in ready.items():
             x, y = N.fresh(), N.fresh()
             g = f"g{len(self.generators) + 1}"
-            self.generators.append(f"LATERAL VIEW inline(aggregate(array(0), {array}, ({x}, {y}) -> {x})) {g} AS {', '.join(f'{g}_c{i}' for i in range(len(names)))}")
-            out += [(name, f"{g}_c{i}") for i, name in enumerate(names)]
-        return out
+            self.generators.append(f"LATERAL VIEW explode(aggregate(array(0), {array}, ({x}, {y}) -> {x})) {g} AS {g}_b")
+            ready[k] = f"{g}_b", names
+        # The rows of a combination, in one compiled loop.
+        for k, (block, names) in ready.items():
+            g = f"g{len(self.generators) + 1}"
+            self.generators.append(f"LATERAL VIEW inline({block}) {g} AS {', '.join(f'{g}_c{i}' for i in range(len(names)))}")
+            done[k] = [[name, f"{g}_c{i}"] for i, name in enumerate(names)]
+        return [c for k in range(len(nodes)) for c in done[k]]
+
+    def settle(self) -> None:
+        """Computes the cells so far, once for all combinations of the arrays' rows and only if there are any: above the generators
+        to come they would be computed for each row, and each would carry the document."""
+        if not self.open:
+            return
+        g = f"g{len(self.generators) + 1}"
+        some = " AND ".join(f"size({a}) > 0" for a in self.arrays)
+        fields = ", ".join(f"'c{i}', CASE WHEN {some} THEN {sql} END" for i, (_, sql) in enumerate(self.open))
+        self.generators.append(f"LATERAL VIEW OUTER inline(array(named_struct({fields}))) {g} AS {', '.join(f'{g}_c{i}' for i in range(len(self.open)))}")
+        for i, c in enumerate(self.open):
+            c[1] = f"{g}_c{i}"
+        self.open = []
 
     # Rows as arrays of structs, for branches of unions and for siblings.
 
